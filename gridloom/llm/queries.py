@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, crf, decontaminate, mixing, near_dup, perplexity, sharding
+from . import chat, crf, decontaminate, html_text, mixing, near_dup, perplexity, sharding
 from .common import table
 
 #: Weights of the mixing tree: by domain, language in a domain, source in both.
@@ -26,6 +26,10 @@ WEIGHTS = {
 MIX_FRACTION, MIX_EPOCHS, MIX_SEED = 0.5, 2.0, 17
 
 
+def op1_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op3_ngram_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.quality_rules(table(spark, sf_dir, "documents"))
 
