@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, crf, decontaminate, html_text, mixing, near_dup, perplexity, sharding
+from . import chat, crf, decontaminate, html_text, mixing, near_dup, perplexity, repeats, sharding, surrogates
 from .common import table
 
 #: Weights of the mixing tree: by domain, language in a domain, source in both.
@@ -30,10 +30,23 @@ def op1_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeat_report(table(spark, sf_dir, "documents"))
+
+
 def op3_ngram_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.quality_rules(table(spark, sf_dir, "documents"))
 
 
+#: Key of the surrogates; a deployment passes its own.
+SURROGATE_KEY = "example key"
+
+
+def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return surrogates.pseudonymise(docs.select("doc_id", "text"), SURROGATE_KEY)
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
