@@ -130,9 +130,9 @@ def matches(w: tx.Words, index: ItemIndex) -> tuple[np.ndarray, np.ndarray, dict
         return hit, longest, items
     least = index.widths[0]
     hashes, at = tx.grams(w, least)
-    if not len(at):
-        return hit, longest, items
     found = at[index.seeds[np.minimum(np.searchsorted(index.seeds, hashes), len(index.seeds) - 1)] == hashes]
+    if not len(found):
+        return hit, longest, items
     stretch = tx.covered(len(w), found, least)
     new = stretch.copy()
     new[1:] &= ~stretch[:-1] | (w.row[1:] != w.row[:-1])
@@ -212,15 +212,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     words hit are dropped.  ``n_chars`` follows the text where it exists.
     """
     found = find_contamination(docs, benchmark, window)
-    cut = F.udf(_cut, "string")
-    spans = F.filter("spans", lambda s: s["count"] >= min_span)
     kept = found.where(hit_words(F.col("spans")) <= F.col("n_words") * max_coverage)
-    text = F.when(F.size(spans) > 0, cut("text", spans)).otherwise(F.col("text"))
-    kept = kept.withColumn("__text", text)
-    columns = {c: F.col(c) for c in docs.columns} | {"text": F.col("__text")}
-    if "n_chars" in columns:
-        columns["n_chars"] = F.when(F.size(spans) > 0, F.length("__text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return kept.select(*[c.alias(name) for name, c in columns.items()])
+    schema, chars = docs.schema, "n_chars" in docs.columns
+
+    def run(batches):
+        for batch in batches:
+            columns = {n: batch.column(n) for n in schema.names}
+            spans = [[s for s in x or [] if s["count"] >= min_span] for x in batch.column("spans").to_pylist()]
+            if any(spans):
+                new = [_cut(t, s) if s else t for t, s in zip(columns["text"].to_pylist(), spans, strict=True)]
+                columns["text"] = pa.array(new, columns["text"].type)
+                if chars:
+                    old = columns["n_chars"].to_pylist()
+                    columns["n_chars"] = pa.array([len(t) if s else n for t, s, n in zip(new, spans, old, strict=True)], columns["n_chars"].type)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    return kept.select(*docs.columns, "spans").mapInArrow(run, schema)
 
 
 def _cut(text: str, spans) -> str:
