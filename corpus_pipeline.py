@@ -7,49 +7,67 @@ kept, and returns a DataFrame that is written as Parquet and reread.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm import crf, decontaminate, mixing, near_dup, sharding
-from gridloom.llm.common import release, stored, table
+from gridloom.llm.common import release, stored_paths, table, written
 from gridloom.llm.queries import MIX_EPOCHS, MIX_SEED, WEIGHTS
 
 #: Share of the tokens that reach the mixture and stay in it.
 MIX_FRACTION = 0.8
 SHARDS = 16
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_previous: list[str] = []
 
+
+def stage(f: Stage) -> Stage:
+    """Deletes the intermediate tables of the stage before, whose result is written by now."""
+
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, _previous)
+        before = set(stored_paths())
+        out = f(spark, docs, sf_dir)
+        _previous[:] = [p for p in stored_paths() if p not in before]
+        return out
+
+    return run_stage
+
+
+@stage
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose lines the field finds good; labels train it."""
-    release(spark)
     return crf.good_documents(docs, table(spark, sf_dir, "labels"))
 
 
+@stage
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, the smallest doc_id."""
-    release(spark)
     return near_dup.deduplicated(docs)
 
 
+@stage
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages are cut out; documents made mostly of them go."""
-    release(spark)
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
+@stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixture: each document as often as its leaf's budget takes it."""
-    release(spark)
     return mixing.repeat_copies(mixing.mix(docs, WEIGHTS, MIX_FRACTION, MIX_EPOCHS, MIX_SEED), docs.columns)
 
 
+@stage
 def shard_corpus(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All columns plus shard and slot: runs of a seeded key order of near-equal bytes."""
-    release(spark)
     return sharding.shard_rows(docs, SHARDS)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+STAGES: list[tuple[str, Stage]] = [
     ("quality_classifier", classify),
     ("near_dedup", deduplicate),
     ("decontamination", remove_benchmark),
@@ -64,6 +82,6 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to ``documents``; every result is written and reread."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+    for name, step in STAGES:
+        docs, _ = written(step(spark, docs, sf_dir), name)
     return docs

@@ -24,22 +24,36 @@ def work_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the work folder and read it back: it cuts the lineage, and
-    any executor can read it when another one is lost.  ``release`` deletes it."""
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` written to the work folder and read back, and its path there."""
     spark = df.sparkSession
     path = f"{work_folder(spark)}/gridloom-{uuid.uuid4().hex}-{name}"
     df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """An operator's intermediate table, written and read back: it cuts the lineage, and
+    any executor can read it when another one is lost.  ``release`` deletes it."""
+    out, path = written(df, name)
     _stored.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return out
+
+
+def stored_paths() -> list[str]:
+    """The intermediate tables that exist now, in the order in which they were made."""
+    return list(_stored)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the stored tables of finished operators; results not yet written need theirs."""
+def release(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Delete intermediate tables, all by default; only when the results that read them
+    are written, as DataFrames are lazy."""
     jvm = spark.sparkContext._jvm
-    while _stored:
-        path = jvm.org.apache.hadoop.fs.Path(_stored.pop())
+    for name in stored_paths() if paths is None else paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        if name in _stored:
+            _stored.remove(name)
 
 
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:
