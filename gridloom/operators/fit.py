@@ -15,9 +15,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def normal_cdf(z: pd.Series) -> pd.Series:
     """The standard normal distribution function."""
     return pd.Series(np.fromiter((0.5 * (1.0 + math.erf(x / math.sqrt(2.0))) for x in z), float, len(z)))

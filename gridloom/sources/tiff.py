@@ -211,7 +211,7 @@ def tiff_tags(files: DataFrame) -> DataFrame:
 
 def byte_counts(tags: DataFrame) -> DataFrame:
     """(path, ifd, pieces, total, min, max) of strip or tile byte counts."""
-    sizes = tags.where("name IN ('StripByteCounts', 'TileByteCounts')").select("path", "ifd", F.explode("value").cast("long").alias("size"))
+    sizes = tags.where("name IN ('StripByteCounts', 'TileByteCounts')").select("path", "ifd", F.explode(F.col("value").cast("array<long>")).alias("size"))
     return sizes.groupBy("path", "ifd").agg(F.count(F.lit(1)).alias("pieces"), F.sum("size").alias("total"), F.min("size").alias("min"), F.max("size").alias("max"))
 
 
