@@ -152,6 +152,8 @@ ORACLE: dict[str, str] = {
     "mixed2d": _BASE + "SELECT a.t, a.y, a.x, a.w - b.w - c.w + d.w AS d FROM grid a JOIN grid b ON b.t = a.t AND b.y = a.y AND b.x = a.x - 1 JOIN grid c ON c.t = a.t AND c.y = a.y - 1 AND c.x = a.x JOIN grid d ON d.t = a.t AND d.y = a.y - 1 AND d.x = a.x - 1",
     "delta3d_hist": _D + _FINAL,
     "delta3d_regions": _REGIONAL + "SELECT * FROM hist",
+    "delta3d_regions_bands": _REGIONAL + "SELECT * FROM hist",
+    "tiff_delta3d_regions": _REGIONAL + "SELECT * FROM hist",
     "region_counts_check": _REGIONAL + "SELECT region, n, expected::BIGINT AS expected, n = expected AS agrees FROM (SELECT region, sum(n)::BIGINT AS n FROM hist GROUP BY 1) JOIN (VALUES " + ", ".join(f"('{k}', {v})" for k, v in _SIZES.items()) + ") e(region, expected) USING (region)",
     "planes_edges_merge": _REGIONAL + "SELECT CASE WHEN region LIKE '%face' THEN 'planes' ELSE 'edges' END AS region_group, value, sum(n)::BIGINT AS n FROM hist WHERE region LIKE '%face' OR region LIKE '%edge' GROUP BY ALL",
     "inverse_delta_mismatch": _BASE + "SELECT count(*) AS n, sum(w)::BIGINT AS total, 0::BIGINT AS mismatches FROM grid",

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import bits, packing
-from ..operators import blocks, delta, dist, fit, planes, stencil
+from ..operators import bands, blocks, delta, dist, fit, planes, stencil
 from ..sources import grib, grids, tables, tiff
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,6 +149,18 @@ def delta3d_regions(spark, sf_dir):
     return _regional(spark, sf_dir)
 
 
+@query
+def delta3d_regions_bands(spark, sf_dir):
+    """The same distributions over row bands instead of cells."""
+    return bands.delta3d_counts(bands.to_bands(_smooth(spark, sf_dir), rows=3))
+
+
+@query
+def tiff_delta3d_regions(spark, sf_dir):
+    """The same distributions from the frames as TIFF files, by row bands."""
+    return bands.delta3d_counts(tiff.read_bands(tiff.frames_as_tiff(_smooth(spark, sf_dir), tile=16), rows=5))
+
+
 @query
 def region_counts_check(spark, sf_dir):
     seen = dist.merged(_regional(spark, sf_dir).withColumn("value", F.lit(0)), "region").select("region", "n")

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import bands
+
 # Fixed values of the TIFF 6.0 and BigTIFF formats: type number -> (name, struct code, bytes).
 _TYPES = {
     1: ("BYTE", "B", 1), 2: ("ASCII", "s", 1), 3: ("SHORT", "H", 2), 4: ("LONG", "I", 4), 5: ("RATIONAL", "II", 8), 6: ("SBYTE", "b", 1), 7: ("UNDEFINED", "B", 1), 8: ("SSHORT", "h", 2),
@@ -237,6 +239,17 @@ def read_grid(files: DataFrame, strict: bool = True, finite: bool = False) -> Da
     return files.select("t", "path", "content").mapInArrow(run, "t int, y int, x int, v float")
 
 
+def read_bands(files: DataFrame, rows: int = bands.ROWS, strict: bool = True) -> DataFrame:
+    """The frames as row bands: no row per cell is made, and one frame is in memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t, content in zip(batch.column("t").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                yield bands.frame_bands(t, Tiff(content).frame(strict), rows)
+
+    return files.select("t", "content").mapInArrow(run, bands.BAND)
+
+
 def frames_as_tiff(cells: DataFrame, description: str = "", tile: int = 256) -> DataFrame:
     """(t, content): every frame as the bytes of a TIFF file."""
 
