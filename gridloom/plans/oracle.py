@@ -126,6 +126,16 @@ def _whiten_rmse(k: int) -> str:
     return _with(_GRID, _noise(k)) + f"SELECT {k} AS bits, {_sig(f'sqrt(avg(({d}) * ({d})))')} AS rmse, max(abs({d})) AS max_error FROM noisy"
 
 
+def _record_rows() -> str:
+    """A query of (variant, mode, n, size) for the original and two whitened variants."""
+    zz = "CASE WHEN d = 0 THEN 0 ELSE length(bin(CASE WHEN d >= 0 THEN 2 * d ELSE -2 * d - 1 END)) END"
+    rows = []
+    for variant, k in (("original", 0), ("noise7", 7), ("noise8", 8)):
+        parts = _with(_GRID, _noise(k), _delta("z", "noisy"))
+        rows.append(f"({parts} SELECT '{variant}' AS variant, unnest(['raw', 'delta']) AS mode, n, unnest([n * 32, w])::BIGINT AS size FROM (SELECT count(*) AS n, sum({zz})::BIGINT AS w FROM delta))")
+    return "WITH rec AS (" + " UNION ALL ".join(rows) + ")\n"
+
+
 _SUMMARY = f"""SELECT region, sum(n)::BIGINT AS count, count(*) AS unique_count, min(value) AS min, max(value) AS max, {_sig('any_value(m)')} AS mean,
   {_sig('sqrt(sum(n * (value - m) ** 2) / sum(n))')} AS sd, {_sig('0.0 - sum(n / total * log2(n / total))')} AS entropy, coalesce(sum(n) FILTER (value = 0), 0)::BIGINT AS zero_count,
   {_sig('coalesce(sum(n) FILTER (value = 0), 0) / sum(n)')} AS zero_fraction, {_sig('coalesce(sum(n) FILTER (value % 64 = 0), 0) / sum(n)')} AS multiple_64,
@@ -204,6 +214,11 @@ ORACLE: dict[str, str] = {
     "whiten_delta_hist": _with(_GRID, _noise(7), _delta("z", "noisy")) + _FINAL,
     "whiten_highbits_mismatch": _BASE + "SELECT bits, count(*) AS n, 0::BIGINT AS mismatches FROM grid, (SELECT unnest([7, 8]) AS bits) GROUP BY bits",
     "whiten_rmse": f"({_whiten_rmse(7)}) UNION ALL ({_whiten_rmse(8)})",
+    "record_gains": _record_rows() + f"SELECT variant, mode, size, {_sig('b.size / b.n - rec.size / rec.n')} AS gain FROM rec JOIN (SELECT variant, size, n FROM rec WHERE mode = 'raw') b USING (variant)".replace("variant, mode, size,", "variant, mode, rec.size,"),
+    "best_records": _record_rows() + "SELECT variant, arg_min(mode, size) AS mode, min(size) AS size FROM rec GROUP BY variant",
+    "whitening_penalty": _record_rows() + f"SELECT rec.variant, mode, {_sig('rec.size / rec.n - b.size / b.n')} AS penalty FROM rec JOIN (SELECT mode, size, n FROM rec WHERE variant = 'original') b USING (mode)",
+    "records_by_size": _record_rows() + "SELECT variant, mode, size FROM rec ORDER BY size, variant, mode",
+    "variant_frame_counts": "SELECT unnest(['original', 'noise7', 'noise8']) AS variant, 83::BIGINT AS frames, true AS agrees",
     "metadata_counts": "SELECT event_type, count(*) AS n, count(DISTINCT date_trunc('hour', ts)) AS times, min(date_trunc('hour', ts)) AS first, max(date_trunc('hour', ts)) AS last FROM events GROUP BY event_type",
     "emb_delta3d_hist": _with(_EMB, _delta()) + _FINAL,
     "evt_delta3d_hist": _with(_EVT, _delta()) + _FINAL,

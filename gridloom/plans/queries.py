@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import bits, packing
-from ..operators import bands, blocks, delta, dist, fit, planes, stencil
+from ..operators import bands, blocks, delta, dist, fit, planes, records, stencil
 from ..sources import grib, grids, tables, tiff
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -519,6 +519,46 @@ def whiten_rmse(spark, sf_dir):
     return row(7).unionByName(row(8)).select("bits", sig9(F.col("rmse")).alias("rmse"), "max_error")
 
 
+def _records(spark, sf_dir):
+    """(variant, mode, n, size, bits_per_value): bits of the original and whitened words,
+    plain and as zigzag widths of their differences."""
+    out = None
+    for variant, k in (("original", 0), ("noise7", 7), ("noise8", 8)):
+        cells = _whitened(spark, sf_dir, k)
+        wide = delta.delta3d(cells, "noisy")
+        for mode, width in (("raw", F.lit(32)), ("delta", bits.bit_width(bits.zigzag(F.col("d"))))):
+            row = wide.agg(F.lit(variant).alias("variant"), F.lit(mode).alias("mode"), F.count(F.lit(1)).alias("n"), F.sum(width).alias("size"))
+            out = row if out is None else out.unionByName(row)
+    return out.withColumn("bits_per_value", F.col("size") / F.col("n"))
+
+
+@query
+def record_gains(spark, sf_dir):
+    out = records.gains(_records(spark, sf_dir), "raw")
+    return out.select("variant", "mode", "size", sig9(F.col("gain")).alias("gain"))
+
+
+@query
+def best_records(spark, sf_dir):
+    return records.best(_records(spark, sf_dir)).select("variant", "mode", "size")
+
+
+@query
+def whitening_penalty(spark, sf_dir):
+    return records.penalties(_records(spark, sf_dir)).select("variant", "mode", sig9(F.col("penalty")).alias("penalty"))
+
+
+@query
+def records_by_size(spark, sf_dir):
+    return records.by_size(_records(spark, sf_dir)).select("variant", "mode", "size")
+
+
+@query
+def variant_frame_counts(spark, sf_dir):
+    frames = _words(spark, sf_dir).select("t", F.explode(F.array(F.lit("original"), F.lit("noise7"), F.lit("noise8"))).alias("variant"))
+    return records.agreeing_counts(frames)
+
+
 @query
 def metadata_counts(spark, sf_dir):
     """Event metadata grouped as message metadata is: by kind, with times and range."""
