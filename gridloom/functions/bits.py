@@ -6,7 +6,7 @@ Spark has no unsigned 32-bit type.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD = 1 << 32
@@ -17,29 +17,52 @@ def _long(n: int) -> Column:
     return F.lit(n).cast("long")
 
 
-def float_bits(v: Column) -> Column:
-    """The word of a float32; null for null.
+def _magnitude(v: Column) -> Column:
+    return F.abs(v.cast("double"))
 
-    Exponent and mantissa come from the value by exact steps: a logarithm
-    proposes the exponent and two comparisons with powers of two correct it.
-    Every NaN has the word of the quiet NaN.
-    """
-    v = v.cast("float")
-    a = F.abs(v.cast("double"))
-    normal = a >= 2.0**-126
-    guess = F.floor(F.log2(F.when(normal & (a < float("inf")), a).otherwise(1.0))).cast("int")
-    low = guess + F.when(F.pow(F.lit(2.0), guess + 1) <= a, 1).when(F.pow(F.lit(2.0), guess) > a, -1).otherwise(0)
-    scaled = (a / F.pow(F.lit(2.0), low) * float(1 << 23)).cast("long")  # 2**23 + mantissa
+
+def _guess(a: Column) -> Column:
+    """The exponent that a logarithm proposes; 0 where there is none."""
+    return F.floor(F.log2(F.when((a >= 2.0**-126) & (a < float("inf")), a).otherwise(1.0))).cast("int")
+
+
+def _exponent(a: Column, guess: Column) -> Column:
+    """The exact exponent: two comparisons with powers of two correct the guess."""
+    return guess + F.when(F.pow(F.lit(2.0), guess + 1) <= a, 1).when(F.pow(F.lit(2.0), guess) > a, -1).otherwise(0)
+
+
+def _word(v: Column, a: Column, exponent: Column) -> Column:
+    scaled = (a / F.pow(F.lit(2.0), exponent) * float(1 << 23)).cast("long")  # 2**23 + mantissa
     magnitude = (
         F.when(F.isnan(v), _long(0x7FC00000))
         .when(a == float("inf"), _long(0x7F800000))
-        .when(normal, (low + 126).cast("long") * _long(1 << 23) + scaled)
+        .when(a >= 2.0**-126, (exponent + 126).cast("long") * _long(1 << 23) + scaled)
         .otherwise((a * 2.0**149).cast("long"))
     )
     negative = (v < 0) | ((v == 0) & (v.cast("string") == "-0.0"))
     return F.when(v.isNotNull(), magnitude + F.when(negative & ~F.isnan(v), _long(1 << 31)).otherwise(_long(0)))
 
 
+def float_bits(v: Column) -> Column:
+    """The word of a float32; null for null.
+
+    Exponent and mantissa come from the value by exact steps.  Every NaN has the
+    word of the quiet NaN.  ``with_float_bits`` does the same in fewer operations.
+    """
+    v = v.cast("float")
+    a = _magnitude(v)
+    return _word(v, a, _exponent(a, _guess(a)))
+
+
+def with_float_bits(df: DataFrame, value: str = "v", to: str = "w") -> DataFrame:
+    """Adds ``to``, the word of ``value``: each step is a projection, so that none is
+    evaluated again for every use of it."""
+    v = F.col(value).cast("float")
+    df = df.withColumn("__a", _magnitude(v)).withColumn("__guess", _guess(F.col("__a")))
+    df = df.withColumn("__exponent", _exponent(F.col("__a"), F.col("__guess")))
+    return df.withColumn(to, _word(v, F.col("__a"), F.col("__exponent"))).drop("__a", "__guess", "__exponent")
+
+
 def bits_float(w: Column) -> Column:
     """The float32 of a word."""
     magnitude = w.bitwiseAND(_long((1 << 31) - 1))

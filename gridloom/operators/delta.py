@@ -21,7 +21,7 @@ REGIONS = ("interior", "t0_face", "lat0_face", "lon0_face", "t0_lat0_edge", "t0_
 
 def words(grid: DataFrame, value: str = "v") -> DataFrame:
     """(t, y, x, w): the bit pattern of every cell."""
-    return grid.select("t", "y", "x", bits.float_bits(F.col(value)).alias("w"))
+    return bits.with_float_bits(grid.select("t", "y", "x", value), value).select("t", "y", "x", "w")
 
 
 def region(t: Column, y: Column, x: Column) -> Column:

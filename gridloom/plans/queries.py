@@ -303,7 +303,7 @@ def reference_series_delta(spark, sf_dir):
 
 
 def _tailed(spark, sf_dir):
-    return _smooth(spark, sf_dir).select("t", "y", "x", "v", bits.float_bits(F.col("v")).alias("w"))
+    return bits.with_float_bits(_smooth(spark, sf_dir).select("t", "y", "x", "v"))
 
 
 @query

@@ -44,6 +44,7 @@ def test_float_bits_of_special_and_random_values(spark):
     df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "i int, v double").select("i", F.col("v").cast("float").alias("v"))
     got = df.select("i", bits.float_bits(F.col("v")).alias("w")).withColumn("back", bits.float_bits(bits.bits_float(F.col("w")))).orderBy("i").toPandas()
     assert got["w"].tolist() == values.view(np.uint32).tolist() == got["back"].tolist()
+    assert [r.w for r in bits.with_float_bits(df).orderBy("i").collect()] == got["w"].tolist()
     odd = spark.createDataFrame([(float("nan"),), (None,)], "v float").select(bits.float_bits(F.col("v")).alias("w")).collect()
     assert [r.w for r in odd] == [0x7FC00000, None]
 
