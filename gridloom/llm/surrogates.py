@@ -17,9 +17,11 @@ from functools import lru_cache
 from itertools import accumulate
 from operator import mul
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from . import textops as tx
 from .common import BROADCAST_ROWS, stored
@@ -222,7 +224,10 @@ def _family(kind):
 def assign(found: DataFrame, key: bytes) -> DataFrame:
     """(kind, value, attempt) of the entities whose first surrogate won't do: it is
     another entity's surrogate too, or some entity's real value."""
-    new = F.udf(lambda kind, value, attempt: surrogate(key, kind, value, attempt), "string")
+    @F.pandas_udf(StringType())
+    def new(kinds: pd.Series, values: pd.Series, attempts: pd.Series) -> pd.Series:
+        return pd.Series([surrogate(key, k, v, a) for k, v, a in zip(kinds, values, attempts, strict=True)], dtype=object)
+
     known = stored(found.select("kind", "value").distinct(), "entities")
     real = known.select(_family(F.col("kind")).alias("family"), F.col("value").alias("surrogate")).distinct().withColumn("real", F.lit(True))
     drawn = stored(known.withColumn("attempt", F.lit(0)).withColumn("surrogate", new("kind", "value", "attempt")), "surrogates")
