@@ -81,7 +81,10 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to ``documents``; every result is written and reread."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), ""
     for name, step in STAGES:
-        docs, _ = written(step(spark, docs, sf_dir), name)
+        docs, path = written(step(spark, docs, sf_dir), name)
+        release(spark, [*_previous, *([before] if before else [])])
+        _previous.clear()
+        before = path
     return docs
