@@ -2,16 +2,17 @@
 
 Every tree orders the documents by another sequence of their MinHash values.  A
 run of documents with a long common prefix is a region of the tree; neighbours
-in a region are candidates, confirmed on their full shingle sets.  Regions that
-hold more unlinked pairs than a limit are followed to a greater depth, and an
-exact prefix filter serves what is dense there too, so no region is cut short.
+in a region are candidates, confirmed on their full shingle sets.  Depth adapts to
+the region: where it holds more unlinked pairs than a limit, its members are
+told apart by their rarest shingles instead, so no region is cut short.  Pairs
+whose sketches differ too much are not compared in full.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as tx
@@ -23,12 +24,20 @@ SHINGLE, PERCENT = 5, 75
 #: similarity s meet in some region with probability 1 - (1 - s**DEPTH)**TREES,
 #: that is 0.9995 for 0.75 and 0.999996 for 0.8.
 HASHES, TREES, DEPTH = 60, 20, 4
-#: Unlinked pairs that a region may emit before the exact prefix filter takes it.
-REGION_PAIRS = 2_000
+#: Unlinked pairs of a region whose sketches are compared; more are for the rarest shingles.
+REGION_PAIRS = 1_000_000
+#: Rounds that link the members of a region to one of its largest component.
+STAR_ROUNDS = 2
+#: Bits of a sketch (one per MinHash function) and how many of them two sets may differ
+#: in to be compared in full.  Sets of similarity 0.75 differ in 128 +- 10.6 bits, so one
+#: pair in 200,000 of just that similarity is passed over.
+SKETCH_BITS, SKETCH_MISSES = 1024, 175
 
 _RNG = np.random.default_rng(75)
 _FLIP = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64)
 _ODD = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SKETCH_FLIP = _RNG.integers(0, 1 << 63, SKETCH_BITS, dtype=np.uint64)
+_SKETCH_ODD = _RNG.integers(0, 1 << 63, SKETCH_BITS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ORDERS = [_RNG.permutation(HASHES)[:DEPTH].tolist() for _ in range(TREES)]
 
 
@@ -79,14 +88,29 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """doc_id and the full shingle set of every row."""
+    """doc_id, the full shingle set and its sketch, of every row with a set."""
 
     def run(batches):
         for part in tx.slices(batches, limit=tx.SLICE_BYTES // 2):
             hashes, bounds = shingle_sets(part.column("text"))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(tx.signed(hashes), pa.int64()))], names=["node", "shingles"])
+            some = np.flatnonzero(np.diff(bounds))
+            bits = np.zeros((len(some), SKETCH_BITS), np.uint8)
+            for k in range(SKETCH_BITS if len(some) else 0):
+                least = np.minimum.reduceat((hashes ^ _SKETCH_FLIP[k]) * _SKETCH_ODD[k], bounds[some])
+                bits[:, k] = tx.mix(least) & np.uint64(1)
+            sketch = np.packbits(bits, axis=1).view(np.int64)
+            sketches = pa.FixedSizeListArray.from_arrays(pa.array(sketch.ravel(), pa.int64()), SKETCH_BITS // 64).cast(pa.list_(pa.int64()))
+            sets = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(tx.signed(hashes), pa.int64()))
+            rows = pa.array(some, pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(rows), sets.take(rows), sketches], names=["node", "shingles", "sketch"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"node {docs.schema['doc_id'].dataType.simpleString()}, shingles array<long>, sketch array<long>")
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"node {docs.schema['doc_id'].dataType.simpleString()}, shingles array<long>")
+
+def _alike(a: Column, b: Column) -> Column:
+    """Whether two sketches differ in few enough bits."""
+    misses = [F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(SKETCH_BITS // 64)]
+    return sum(misses[1:], misses[0]) <= SKETCH_MISSES
 
 
 def forest(nodes: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -122,28 +146,62 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _cross_pairs(regions: DataFrame) -> DataFrame:
-    """Pairs (a < b) of nodes of different components within a region."""
-    right = regions.select("region", F.col("node").alias("b"), F.col("component").alias("other"))
-    pairs = regions.withColumnRenamed("node", "a").join(right, "region").where((F.col("component") != F.col("other")) & (F.col("a") < F.col("b")))
-    return pairs.select("a", "b").distinct()
+def _outsiders(groups: DataFrame, *key: str) -> DataFrame:
+    """Members of each group that are not in its largest component, with that one's name.
+
+    Most of a group is one component; starting from the others, a search of the
+    rest costs their number times the group's, not the square of the latter.
+    """
+    parts = groups.groupBy(*key, "component").agg(F.count(F.lit(1)).alias("n"))
+    largest = parts.groupBy(*key).agg(F.max(F.struct("n", "component")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    return groups.join(largest.select(*key, F.col("most.component").alias("largest")), list(key)).where("component <> largest")
+
+
+def _cross_pairs(groups: DataFrame) -> DataFrame:
+    """Pairs (a < b) of members (region, node, component, sketch) of different components
+    of a group whose sketches are alike.  With ``places``, all regions of a node, a pair
+    leaves the join only in the first region that both share."""
+    mine = {"node": "one", "component": "own", "sketch": "mine", "places": "here"}
+    left = _outsiders(groups, "region").select("region", *[F.col(c).alias(n) for c, n in mine.items() if c in groups.columns])
+    wanted = (F.col("own") != F.col("component")) & _alike(F.col("mine"), F.col("sketch"))
+    if "places" in groups.columns:
+        wanted = wanted & (F.get(F.array_intersect("here", "places"), F.lit(0)) == F.col("region"))
+    pairs = left.join(groups, "region").where(wanted)
+    return pairs.select(F.least("one", "node").alias("a"), F.greatest("one", "node").alias("b")).distinct()
+
+
+def _star_pairs(groups: DataFrame, salt: int) -> DataFrame:
+    """Pairs of the members outside a group's largest component with one member of it,
+    which the salt chooses anew for each group."""
+    chosen = F.xxhash64("node", "region", F.lit(salt))
+    hub = F.min_by(F.struct(F.col("node").alias("hub"), F.col("sketch").alias("theirs")), chosen).alias("h")
+    hubs = groups.groupBy("region", "component").agg(hub).select("region", F.col("component").alias("largest"), "h.*")
+    pairs = _outsiders(groups, "region").join(hubs, ["region", "largest"]).where(_alike(F.col("sketch"), F.col("theirs")))
+    return pairs.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
 
 
 def _dense_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Exact candidates among dense regions' nodes: two sets of similarity s >= t share
     one of their n - ceil(t n) + 1 rarest shingles, whatever the shared order is."""
     nodes = members.select("node", "component").distinct()
-    rows = nodes.join(sets, "node").select("node", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    rows = nodes.join(sets.select("node", "shingles"), "node").select("node", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
     spread = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("c1"), F.max("component").alias("c2"))
     ranked = rows.join(spread, "shingle").groupBy("node", "component", "n").agg(F.array_sort(F.collect_list(F.struct("df", "shingle", (F.col("c1") != F.col("c2")).alias("mixed")))).alias("order"))
     prefix = F.slice("order", 1, (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
     keyed = ranked.select("node", "component", F.explode(prefix).alias("x")).where("x.mixed").select(F.col("x.shingle").alias("region"), "node", "component")
-    return _cross_pairs(keyed)
+    return _cross_pairs(keyed.join(sets.select("node", "sketch"), "node"))
+
+
+def _named(regions: DataFrame, labels: DataFrame) -> DataFrame:
+    """(region, node, component, sketch); a node without links is its own component."""
+    return regions.join(labels, "node", "left").select("region", "node", F.coalesce("component", "node").alias("component"), "sketch")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
 
+    ``percent`` is 75 or more, which trees and sketches are made for.
+
     Texts are lower-cased (A-Z); a text of fewer than five words is one shingle,
     one without words (or null) has none and is linked with nothing.  Documents
     with equal sets are linked at once and enter the forest as one node, the
@@ -152,29 +210,48 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     repeat a doc_id are one document.  An empty table gives an empty result;
     other columns are ignored.
     """
+    if percent < PERCENT:
+        raise ValueError(f"percent must be at least {PERCENT}")
     signed = stored(signatures(docs), "signatures")
     known = signed.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = stored(known.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig")), "classes")
     placed = forest(classes)
-    crowd = placed.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("leader")).where("n > 1")
-    regions = stored(placed.join(crowd, "region"), "regions")
+    crowd = placed.groupBy("region").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    regions = stored(placed.join(crowd.select("region"), "region"), "regions")
     wanted = regions.select(F.col("node").alias("doc_id")).distinct()
-    sets = stored(_sets(docs.join(wanted, "doc_id", "left_semi")).groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
-    stars = regions.where("leader < node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    links = stored(confirmed(stars, sets, percent), "links")
+    sets = stored(_sets(docs.join(wanted, "doc_id", "left_semi")).dropDuplicates(["node"]), "sets")
+    regions = stored(regions.join(sets.select("node", "sketch"), "node"), "sketched")
+
+    # at first every node is its own component, and the hub is any member
+    hub = F.min_by(F.struct(F.col("node").alias("hub"), F.col("sketch").alias("theirs")), F.xxhash64("node", "region")).alias("h")
+    stars = regions.join(regions.groupBy("region").agg(hub).select("region", "h.*"), "region").where((F.col("hub") != F.col("node")) & _alike(F.col("sketch"), F.col("theirs")))
+    tried = stored(stars.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct(), "pairs")
+    links = stored(confirmed(tried, sets, percent), "links")
     labels = components(links)
-    named = regions.select("region", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    for salt in range(1, STAR_ROUNDS + 1):
+        named = _named(regions, labels)
+        more = stored(_star_pairs(named, salt).join(tried, ["a", "b"], "left_anti"), "pairs")
+        found = stored(confirmed(more, sets, percent), "links")
+        tried = tried.unionByName(more)
+        if not found.limit(1).count():
+            break
+        links = links.unionByName(found)
+        labels = components(links)
+
+    named = stored(_named(regions, labels), "named")
     parts = named.groupBy("region", "component").agg(F.count(F.lit(1)).alias("n"))
     open_ = parts.groupBy("region").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs")).where("pairs > 0")
     left = stored(named.join(open_, "region"), "open")
-    pairs = _cross_pairs(left.where(F.col("pairs") <= REGION_PAIRS).select("region", "node", "component"))
+    sparse = left.where(F.col("pairs") <= REGION_PAIRS)
+    places = sparse.groupBy("node").agg(F.array_sort(F.collect_set("region")).alias("places"))
+    pairs = _cross_pairs(sparse.select("region", "node", "component", "sketch").join(places, "node"))
     dense = left.where(F.col("pairs") > REGION_PAIRS)
     if dense.limit(1).count():
         pairs = pairs.union(_dense_pairs(dense, sets, percent)).distinct()
-    pairs = pairs.join(stars, ["a", "b"], "left_anti")
+    pairs = pairs.join(tried, ["a", "b"], "left_anti")
     more = stored(confirmed(pairs, sets, percent), "links")
     if more.limit(1).count():
-        labels = components(links.union(more))
+        labels = components(links.unionByName(more))
     named = classes.select("d1", "d2", "n_shingles", "node").join(labels, "node", "left")
     named = named.select("d1", "d2", "n_shingles", F.coalesce("component", "node").alias("component"))
     out = signed.select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2", "n_shingles"], "left")

@@ -59,7 +59,7 @@ def components(rows, percent=75):
     return sorted((i, len(s), root(i), root(i) == i) for i, s in sets.items())
 
 
-@pytest.mark.parametrize("region_pairs", [50, 0])
+@pytest.mark.parametrize("region_pairs", [1_000_000, 0])
 def test_near_duplicates(spark, docs, rows, monkeypatch, region_pairs):
     monkeypatch.setattr(near_dup, "REGION_PAIRS", region_pairs)
     got = sorted(tuple(r) for r in near_dup.near_duplicates(docs).collect())
