@@ -19,6 +19,8 @@ from . import textops as tx
 
 #: Labelled documents of each class, and code points of one of them, that the fit may use.
 SAMPLE_DOCS, SAMPLE_CHARS = 1_500, 20_000
+#: Text bytes of the sample whose features the driver computes at once.
+SAMPLE_SLICE = 1 << 17
 ROUNDS, RATE, RIDGE = 250, 0.08, 1e-3
 
 _NOT_NEWLINE = np.ones(256, bool)
@@ -192,9 +194,13 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sa
     first = lambda q: usable.where(F.col("quality") == q).orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(sample_docs)
     chosen = first(0).unionByName(first(1)).select("doc_id", "quality")
     near = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.length("text") <= sample_chars)
-    sample = near.toPandas().drop_duplicates("doc_id").sort_values("doc_id")
+    sample = near.toArrow().to_pandas().drop_duplicates("doc_id").sort_values("doc_id")
     y = sample["quality"].to_numpy()
-    lines = line_features(pa.array(sample["text"], pa.string()))
+    texts = pa.record_batch({"text": pa.array(sample["text"], pa.string())})
+    # small slices: a whole sample's scratch arrays would fill the driver
+    parts = [line_features(part.column("text")) for part in tx.slices([texts], limit=SAMPLE_SLICE)]
+    sizes = np.concatenate([np.zeros(1, np.int64), *[np.diff(p.bounds) for p in parts]])
+    lines = Lines(np.concatenate([p.x for p in parts] or [np.zeros((0, len(FEATURES)))]), np.concatenate([p.length for p in parts] or [np.zeros(0, np.int64)]), np.cumsum(sizes))
     some = np.flatnonzero(np.diff(lines.bounds))
     if not {0, 1} <= set(y[some]):
         return None
