@@ -1,10 +1,12 @@
 """MinHash near-duplicates with an LSH forest.
 
-Every tree orders the documents by another sequence of their MinHash values.  A
-run of documents with a long common prefix is a region of the tree; neighbours
-in a region are candidates, confirmed on their full shingle sets.  Depth adapts to
-the region: where it holds more unlinked pairs than a limit, its members are
-told apart by their rarest shingles instead, so no region is cut short.  Pairs
+Every tree orders the documents by a sequence of MinHash values of its own.  A run of
+documents with a common prefix is a region of the tree; its members are candidates,
+confirmed on their full shingle sets.  The prefix adapts to the region: it is one value
+shorter wherever few documents share that, and in the sorted order of the whole
+sequences neighbours, who have the longest common prefixes, are linked before a
+region is searched.  Where a region still holds more unlinked pairs than a limit, its
+members are told apart by their rarest shingles, so no region is cut short.  Pairs
 whose sketches differ too much are not compared in full.
 """
 
@@ -20,10 +22,13 @@ from .common import stored
 
 #: Words of one shingle, and the least percentage that links two documents.
 SHINGLE, PERCENT = 5, 75
-#: MinHash values of a document; trees and the prefix they start from.  Two sets of
-#: similarity s meet in some region with probability 1 - (1 - s**DEPTH)**TREES,
-#: that is 0.9995 for 0.75 and 0.999996 for 0.8.
-HASHES, TREES, DEPTH = 60, 20, 4
+#: Trees, the MinHash values that each has for itself, and the prefix that two documents
+#: have to share.  As no value serves two trees, two sets of similarity s meet in some
+#: region with probability 1 - (1 - s**DEPTH)**TREES at least.
+TREES, KEYS, DEPTH = 20, 6, 4
+HASHES = TREES * KEYS
+#: Documents that may share a prefix of DEPTH - 1 values and be one region by it.
+CROWD = 64
 #: Unlinked pairs of a region whose sketches are compared; more are for the rarest shingles.
 REGION_PAIRS = 1_000_000
 #: Rounds that link the members of a region to one of its largest component.
@@ -38,7 +43,6 @@ _FLIP = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64)
 _ODD = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SKETCH_FLIP = _RNG.integers(0, 1 << 63, SKETCH_BITS, dtype=np.uint64)
 _SKETCH_ODD = _RNG.integers(0, 1 << 63, SKETCH_BITS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ORDERS = [_RNG.permutation(HASHES)[:DEPTH].tolist() for _ in range(TREES)]
 
 
 def shingle_sets(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -114,9 +118,22 @@ def _alike(a: Column, b: Column) -> Column:
 
 
 def forest(nodes: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(region, node) for every tree: the region is a hash of the tree and its prefix."""
-    regions = [F.xxhash64(F.lit(t), *[F.get("sig", F.lit(i)) for i in order[:depth]]) for t, order in enumerate(_ORDERS)]
-    return nodes.select(F.explode(F.array(*regions)).alias("region"), "node")
+    """(region, tree, node) of all regions of two nodes or more: the region is a hash of
+    the tree and a prefix of its values, of ``depth`` or one less where at most CROWD
+    nodes share that.  Nodes with a common prefix of ``depth`` are always in one region."""
+
+    def prefix(tree: int, n: int) -> Column:
+        return F.xxhash64(F.lit(tree), F.lit(n), *[F.get("sig", F.lit(tree * KEYS + i)) for i in range(n)])
+
+    def crowds(rows: DataFrame, key: str) -> DataFrame:
+        return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+    trees = [F.struct(F.lit(t).alias("tree"), prefix(t, depth - 1).alias("short"), prefix(t, depth).alias("long")) for t in range(TREES)]
+    placed = nodes.select("node", F.explode(F.array(*trees)).alias("t")).select("node", "t.*")
+    shared = stored(placed.join(crowds(placed, "short"), "short"), "prefixes")
+    few = shared.where(F.col("n") <= CROWD).select(F.col("short").alias("region"), "tree", "node")
+    many = shared.where(F.col("n") > CROWD).select("long", "tree", "node")
+    return few.unionByName(many.join(crowds(many, "long").select("long"), "long").select(F.col("long").alias("region"), "tree", "node"))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -170,10 +187,36 @@ def _cross_pairs(groups: DataFrame) -> DataFrame:
     return pairs.select(F.least("one", "node").alias("a"), F.greatest("one", "node").alias("b")).distinct()
 
 
+def _neighbour_pairs(groups: DataFrame) -> DataFrame:
+    """Pairs of neighbours in each tree's order of whole sequences that are in one region,
+    not in one component, and whose sketches are alike.  A hot region is cut among tasks
+    like any other run; the pair at such a cut is left to the search inside regions."""
+
+    def run(batches):
+        last = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch] if last is None else [last, batch]).combine_chunks()
+            last = batch.slice(batch.num_rows - 1) if batch.num_rows else last
+            region = np.asarray(rows.column("region"))
+            at = np.flatnonzero(region[1:] == region[:-1])
+            one, two = rows.take(pa.array(at)), rows.take(pa.array(at + 1))
+            bits = [np.asarray(t.column("sketch").combine_chunks().flatten()).view(np.uint64).reshape(len(at), SKETCH_BITS // 64) for t in (one, two)]
+            wanted = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1) <= SKETCH_MISSES
+            wanted &= np.array([a != b for a, b in zip(one.column("component").to_pylist(), two.column("component").to_pylist(), strict=True)], bool)
+            mask = pa.array(wanted)
+            pairs = pa.Table.from_arrays([t.column("node").filter(mask) for t in (one, two)], names=["one", "two"])
+            yield from pairs.to_batches()
+
+    kind = groups.schema["node"].dataType.simpleString()
+    ordered = groups.select("tree", "label", "node", "region", "component", "sketch").orderBy("tree", "label", "node")
+    pairs = ordered.select("node", "region", "component", "sketch").mapInArrow(run, f"one {kind}, two {kind}")
+    return pairs.select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b")).distinct()
+
+
 def _star_pairs(groups: DataFrame, salt: int) -> DataFrame:
-    """Pairs of the members outside a group's largest component with one member of it,
-    which the salt chooses anew for each group."""
-    chosen = F.xxhash64("node", "region", F.lit(salt))
+    """Pairs of the members outside a group's largest component with one member of it.
+    The salt orders all nodes, so that regions with common members choose the same one."""
+    chosen = F.xxhash64("node", F.lit(salt))
     hub = F.min_by(F.struct(F.col("node").alias("hub"), F.col("sketch").alias("theirs")), chosen).alias("h")
     hubs = groups.groupBy("region", "component").agg(hub).select("region", F.col("component").alias("largest"), "h.*")
     pairs = _outsiders(groups, "region").join(hubs, ["region", "largest"]).where(_alike(F.col("sketch"), F.col("theirs")))
@@ -194,7 +237,7 @@ def _dense_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
 
 def _named(regions: DataFrame, labels: DataFrame) -> DataFrame:
     """(region, node, component, sketch); a node without links is its own component."""
-    return regions.join(labels, "node", "left").select("region", "node", F.coalesce("component", "node").alias("component"), "sketch")
+    return regions.join(labels, "node", "left").select(*regions.columns, F.coalesce("component", "node").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -215,30 +258,33 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     signed = stored(signatures(docs), "signatures")
     known = signed.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = stored(known.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig")), "classes")
-    placed = forest(classes)
-    crowd = placed.groupBy("region").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    regions = stored(placed.join(crowd.select("region"), "region"), "regions")
+    regions = stored(forest(classes), "regions")
     wanted = regions.select(F.col("node").alias("doc_id")).distinct()
     sets = stored(_sets(docs.join(wanted, "doc_id", "left_semi")).dropDuplicates(["node"]), "sets")
+    label = F.slice("sig", F.col("tree") * KEYS + 1, F.lit(KEYS))
+    regions = regions.join(classes.select("node", "sig"), "node").select("region", "tree", label.alias("label"), "node")
     regions = stored(regions.join(sets.select("node", "sketch"), "node"), "sketched")
 
     # at first every node is its own component, and the hub is any member
-    hub = F.min_by(F.struct(F.col("node").alias("hub"), F.col("sketch").alias("theirs")), F.xxhash64("node", "region")).alias("h")
+    hub = F.min_by(F.struct(F.col("node").alias("hub"), F.col("sketch").alias("theirs")), F.xxhash64("node")).alias("h")
     stars = regions.join(regions.groupBy("region").agg(hub).select("region", "h.*"), "region").where((F.col("hub") != F.col("node")) & _alike(F.col("sketch"), F.col("theirs")))
     tried = stored(stars.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct(), "pairs")
     links = stored(confirmed(tried, sets, percent), "links")
     labels = components(links)
-    for salt in range(1, STAR_ROUNDS + 1):
+    for salt in range(STAR_ROUNDS + 1):
         named = _named(regions, labels)
-        more = stored(_star_pairs(named, salt).join(tried, ["a", "b"], "left_anti"), "pairs")
+        more = _star_pairs(named.drop("tree", "label"), salt) if salt else _neighbour_pairs(named)
+        more = stored(more.join(tried, ["a", "b"], "left_anti"), "pairs")
         found = stored(confirmed(more, sets, percent), "links")
         tried = tried.unionByName(more)
         if not found.limit(1).count():
-            break
+            if salt:
+                break
+            continue
         links = links.unionByName(found)
         labels = components(links)
 
-    named = stored(_named(regions, labels), "named")
+    named = stored(_named(regions.drop("tree", "label"), labels), "named")
     parts = named.groupBy("region", "component").agg(F.count(F.lit(1)).alias("n"))
     open_ = parts.groupBy("region").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs")).where("pairs > 0")
     left = stored(named.join(open_, "region"), "open")

@@ -86,6 +86,29 @@ def test_near_copies_of_one_base(spark, monkeypatch):
     assert sorted(tuple(r) for r in near_dup.near_duplicates(spark.createDataFrame(rows, DOCUMENT)).collect()) == want
 
 
+def test_forest_misses_few_pairs(spark):
+    """Of pairs of similarity 60 / 80, one in 2,000 shares no prefix of DEPTH values in any tree."""
+    rng, rows, n = random.Random(8), [], 6000
+    for i in range(n):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(74)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:64] + [f"v{rng.randrange(10**9)}" for _ in range(10)]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    placed = near_dup.forest(near_dup.signatures(docs).withColumnRenamed("doc_id", "node"))
+    met = placed.select("region", F.expr("node div 2").alias("pair"), "node").groupBy("region", "pair").agg(F.countDistinct("node").alias("n")).where("n = 2")
+    assert n - met.select("pair").distinct().count() <= 6
+
+
+def test_neighbours_in_a_region(spark):
+    """Neighbours in the order of whole sequences are paired within their region only."""
+    far = [-1] * (near_dup.SKETCH_BITS // 64)
+    near = [0] * (near_dup.SKETCH_BITS // 64)
+    rows = [(0, [1, 2, 9], 5, 7, 5, near), (0, [1, 2, 3], 4, 7, 4, near), (0, [1, 2, 4], 9, 7, 9, far), (0, [1, 2, 10], 3, 7, 3, near), (0, [2, 2, 3], 6, 8, 6, near), (0, [2, 2, 4], 1, 8, 6, near)]
+    groups = spark.createDataFrame(rows, "tree int, label array<int>, node long, region long, component long, sketch array<long>").coalesce(1)
+    got = sorted(map(tuple, near_dup._neighbour_pairs(groups).collect()))
+    assert got == [(3, 5)]
+    assert near_dup._neighbour_pairs(groups.where("node in (5, 6)")).count() == 0
+
+
 def test_near_duplicates_of_odd_tables(spark, docs):
     assert near_dup.near_duplicates(docs.limit(0)).count() == 0
     odd = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (9, "A B C D E F"), (10, None)], "doc_id long, text string")
