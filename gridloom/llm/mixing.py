@@ -49,13 +49,17 @@ def budgets(leaves: DataFrame, tree: Sequence[str], weights: Mapping[tuple[str,
 
     Shares are water-filled level by level from the root: siblings sorted by
     capacity per weight fill up one after another, and those left share the rest
-    by weight.  As a node's capacity is that of all its leaves, shortages stay
-    among siblings as long as these can use them.
+    by weight.  A node's capacity is that of its leaves whose whole path has positive
+    weight, so shortages stay among siblings as long as these can use them.
     """
-    nodes = leaves.withColumn("cap0", F.floor(F.sum(F.col("tokens")).over(Window.partitionBy()) * max_epochs)).withColumn("share0", F.least(total.cast("double"), F.col("cap0").cast("double")))
+    open_ = F.lit(True)
+    for depth in range(1, len(tree) + 1):
+        open_ = open_ & (_weight(tree[:depth], weights) > 0)
+    nodes = leaves.withColumn("usable", F.when(open_, F.col("tokens")).otherwise(0))
+    nodes = nodes.withColumn("cap0", F.floor(F.sum("usable").over(Window.partitionBy()) * max_epochs)).withColumn("share0", F.least(total.cast("double"), F.col("cap0").cast("double")))
     for depth in range(1, len(tree) + 1):
         path, parent = list(tree[:depth]), list(tree[: depth - 1])
-        level = nodes.groupBy(*path).agg((F.sum("tokens") * F.lit(float(max_epochs))).alias("cap"), F.first(f"share{depth - 1}").alias("above"))
+        level = nodes.groupBy(*path).agg((F.sum("usable") * F.lit(float(max_epochs))).alias("cap"), F.first(f"share{depth - 1}").alias("above"))
         level = level.withColumn("weight", _weight(path, weights)).withColumn("cap", F.when(F.col("weight") > 0, F.col("cap")).otherwise(0.0))
         level = level.withColumn("ratio", F.when(F.col("weight") > 0, F.col("cap") / F.col("weight")).otherwise(0.0))
         family = Window.partitionBy(*parent)
@@ -67,7 +71,7 @@ def budgets(leaves: DataFrame, tree: Sequence[str], weights: Mapping[tuple[str,
         surface = F.max(F.when(~full, F.col("water"))).over(family)
         share = F.when(full, F.col("cap")).otherwise(F.greatest(F.lit(0.0), F.coalesce(surface, F.lit(0.0)) * F.col("weight")))
         nodes = nodes.join(level.select(*path, share.alias(f"share{depth}")), path)
-    return nodes.withColumn("budget", F.floor(f"share{len(tree)}").cast("long")).drop("cap0", *[f"share{i}" for i in range(len(tree) + 1)])
+    return nodes.withColumn("budget", F.floor(f"share{len(tree)}").cast("long")).drop("usable", "cap0", *[f"share{i}" for i in range(len(tree) + 1)])
 
 
 def mix(

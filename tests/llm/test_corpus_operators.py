@@ -232,6 +232,16 @@ def test_mixing_budget(spark):
     assert mixing.mix(spark.createDataFrame([], DOCUMENT), weights).count() == 0
 
 
+def test_budgets_pass_by_a_leaf_of_weight_zero(spark):
+    leaves = spark.createDataFrame([("books", "en", "src10", 33_000), ("books", "en", "src11", 1_000), ("books", "de", "src12", 66_000)], "mix_domain string, mix_lang string, mix_source string, tokens long")
+    weights = {("books", "en"): 1.0, ("books", "de"): 3.0, ("books", "en", "src10"): 0.0}
+    tree = ("mix_domain", "mix_lang", "mix_source")
+    got = lambda total: {r.mix_source: r.budget for r in mixing.budgets(leaves, tree, weights, F.lit(total), 2.0).collect()}
+    # src11 has 2,000 in two epochs; all the rest is for src12, which has 132,000
+    assert got(80_000) == {"src10": 0, "src11": 2_000, "src12": 78_000}
+    assert got(200_000) == {"src10": 0, "src11": 2_000, "src12": 132_000}
+
+
 def test_pipeline(spark, sf_dir):
     spec = importlib.util.spec_from_file_location("corpus_pipeline", Path(__file__).parent.parent.parent / "corpus_pipeline.py")
     pipeline = importlib.util.module_from_spec(spec)
