@@ -4,7 +4,7 @@ Markup is stripped so that each block of a page becomes one line; boilerplate
 elements leave a gap of empty lines.  Sums of text lengths over a sliding window
 of lines show where text surges and where it dives; what lies between is kept.
 Inside an ``article`` or ``main`` element every such stretch is the article's;
-without one, stretches that carry much of the page's text are.
+without one, each stretch is judged by its own share of text in links.
 """
 
 from __future__ import annotations
@@ -19,9 +19,8 @@ from pyspark.sql import DataFrame
 
 #: Lines in a window, and the empty lines that a removed element leaves.
 WINDOW = 3
-#: Outside an article element: least share of the largest stretch's text, and
-#: most share of text in links.
-MIN_SHARE, MAX_LINKS = 0.2, 0.5
+#: Outside an article element: most share of a stretch's text in links.
+MAX_LINKS = 0.5
 
 # Element names of the HTML standard by their role, and the words
 # in class, id and role attributes that mark boilerplate.
@@ -146,8 +145,7 @@ def main_text(page: str | None) -> str:
         kept = stretches(np.array([len(line.text) for line in lines]))
     else:
         found = [(sum(len(x.text) for x in lines[a:b]), sum(x.linked for x in lines[a:b]), a, b) for a, b in stretches(np.array([len(line.text) for line in lines]))]
-        most = max((n - linked for n, linked, _, _ in found), default=0)
-        kept = [(a, b) for n, linked, a, b in found if linked <= MAX_LINKS * n and n - linked >= MIN_SHARE * most]
+        kept = [(a, b) for n, linked, a, b in found if linked <= MAX_LINKS * n]
     return " ".join(line.text for a, b in kept for line in lines[a:b] if line.text)
 
 

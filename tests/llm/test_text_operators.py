@@ -43,6 +43,11 @@ def test_pages(spark):
     assert html_text.extract_pages(df).count() == len(rows) + 1
 
 
+def test_short_parts_of_a_long_page_stay():
+    page = "<p>A short lead.</p><aside>ad</aside>" + "<p>Long middle part.</p>" * 200 + "<form>f</form><p>The end, <a href=x>linked</a>.</p><aside>s</aside><p><a href=y>only a link</a></p>"
+    assert html_text.main_text(page) == "A short lead. " + "Long middle part. " * 200 + "The end, linked."
+
+
 def test_stretches_surge_and_dive():
     import numpy as np
 
