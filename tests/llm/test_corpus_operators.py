@@ -86,27 +86,78 @@ def test_near_copies_of_one_base(spark, monkeypatch):
     assert sorted(tuple(r) for r in near_dup.near_duplicates(spark.createDataFrame(rows, DOCUMENT)).collect()) == want
 
 
-def test_forest_misses_few_pairs(spark):
-    """Of pairs of similarity 60 / 80, one in 2,000 shares no prefix of DEPTH values in any tree."""
-    rng, rows, n = random.Random(8), [], 6000
+def planted_pairs(n, kept, changed, seed=8):
+    """Pairs of texts that share ``kept`` - 4 shingles and have ``changed`` more each."""
+    rng, rows = random.Random(seed), []
     for i in range(n):
-        words = [f"w{rng.randrange(10**9)}" for _ in range(74)]
-        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:64] + [f"v{rng.randrange(10**9)}" for _ in range(10)]))]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
-    placed = near_dup.forest(near_dup.signatures(docs).withColumnRenamed("doc_id", "node"))
-    met = placed.select("region", F.expr("node div 2").alias("pair"), "node").groupBy("region", "pair").agg(F.countDistinct("node").alias("n")).where("n = 2")
-    assert n - met.select("pair").distinct().count() <= 6
-
-
-def test_neighbours_in_a_region(spark):
-    """Neighbours in the order of whole sequences are paired within their region only."""
-    far = [-1] * (near_dup.SKETCH_BITS // 64)
-    near = [0] * (near_dup.SKETCH_BITS // 64)
-    rows = [(0, [1, 2, 9], 5, 7, 5, near), (0, [1, 2, 3], 4, 7, 4, near), (0, [1, 2, 4], 9, 7, 9, far), (0, [1, 2, 10], 3, 7, 3, near), (0, [2, 2, 3], 6, 8, 6, near), (0, [2, 2, 4], 1, 8, 6, near)]
-    groups = spark.createDataFrame(rows, "tree int, label array<int>, node long, region long, component long, sketch array<long>").coalesce(1)
-    got = sorted(map(tuple, near_dup._neighbour_pairs(groups).collect()))
-    assert got == [(3, 5)]
-    assert near_dup._neighbour_pairs(groups.where("node in (5, 6)")).count() == 0
+        words = [f"w{rng.randrange(10**9)}" for _ in range(kept + changed)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:kept] + [f"v{rng.randrange(10**9)}" for _ in range(changed)]))]
+    return rows
+
+
+@pytest.mark.parametrize("kept,changed,lost", [(64, 10, 5), (64, 6, 1)])
+def test_forest_misses_few_pairs(spark, kept, changed, lost):
+    """Recall on pairs of similarity 60 / 80 and 60 / 72, through the whole operator."""
+    n = 3000
+    docs = spark.createDataFrame(planted_pairs(n, kept, changed), "doc_id long, text string").repartition(8)
+    got = near_dup.near_duplicates(docs).where("doc_id % 2 = 1")
+    assert got.where("component_id = doc_id - 1").count() >= n - lost and got.where("component_id < doc_id - 1").count() == 0
+
+
+def brute_orders(sigs, shortest):
+    """For each tree, the sorted order and each node's longest prefix with a neighbour."""
+    out, size = {}, 4 * near_dup.KEYS
+    for tree in range(near_dup.TREES):
+        rows = sorted((sig[tree * size : (tree + 1) * size], node) for node, sig in sigs)
+        same = lambda x, y: next((i for i in range(near_dup.KEYS) if x[4 * i : 4 * i + 4] != y[4 * i : 4 * i + 4]), near_dup.KEYS)
+        with_prev = [0, *[same(rows[i - 1][0], rows[i][0]) for i in range(1, len(rows))]]
+        for i, (label, node) in enumerate(rows):
+            near = max(with_prev[i], with_prev[i + 1] if i + 1 < len(rows) else 0)
+            if near >= shortest:
+                hub = min((other for other in rows if other[0][: 4 * near] == label[: 4 * near]))[1]
+                out[tree, node] = (near, hub, rows[i - 1][1] if with_prev[i] >= shortest else None)
+    return out
+
+
+@pytest.mark.parametrize("batch", [10_000, 3])
+def test_orders_against_brute_force(spark, docs, batch):
+    """Neighbours by longest common prefix, however the rows are cut into batches and tasks."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        signed = near_dup.signatures(docs).where("n_shingles > 0").selectExpr("doc_id AS node", "sig")
+        sigs = [(r.node, bytes(r.sig)) for r in signed.collect()]
+        want = brute_orders(sigs, 1)
+        whole = near_dup.orders(signed.coalesce(1), 1)
+        pairs = {(r.a, r.b): r.near for r in near_dup.neighbours(whole, 1).collect()}
+        got = {(r.tree, r.node): (r.near, r.prev if r.with_prev >= 1 else None) for r in whole.collect() if r.part < 0}
+        assert got and all(want[k][0] == near and want[k][2] == prev for k, (near, prev) in got.items())
+        order = {}
+        for (tree, node), (near, hub, prev) in want.items():
+            for other in {hub, prev} - {node, None}:
+                order.setdefault(tuple(sorted((node, other))), set()).add(tree)
+        # at the ends of tasks hubs may be nearer ones; every neighbour in an order is a pair
+        assert {tuple(sorted((n, p))) for (_, n), (_, _, p) in want.items() if p is not None} <= set(pairs)
+        assert len(set(order) - set(pairs)) <= near_dup.TREES
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_bounds_never_exclude_a_link(spark):
+    """Whatever sizes and sketches rule out is less similar than the limit."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"t{rng.randrange(60)}" for _ in range(rng.choice([6, 30, 90])))) for i in range(40)]
+    for i in range(40):
+        words = rng.choice(rows)[1].split()
+        words[rng.randrange(len(words))] = "x"
+        rows.append((100 + i, " ".join(words)))
+    sets = near_dup._sets(spark.createDataFrame(rows, "doc_id long, text string"))
+    a, b = (sets.select(*[F.col(c).alias(f"{x}_{c}") for c in sets.columns]) for x in "ab")
+    both = a.join(b, F.col("a_node") < F.col("b_node")).withColumn("common", F.size(F.array_intersect("a_shingles", "b_shingles")))
+    linked = F.col("common") * 100 >= (F.col("a_size") + F.col("b_size") - F.col("common")) * 75
+    possible = near_dup._possible(75, F.col("a_size"), F.col("a_sketch"), F.col("b_size"), F.col("b_sketch"))
+    counts = {(r.linked, r.possible): r["count"] for r in both.groupBy(linked.alias("linked"), possible.alias("possible")).count().collect()}
+    assert counts[True, True] > 10 and (True, False) not in counts and counts[False, False] > 10 * counts.get((False, True), 0)
 
 
 def test_near_duplicates_of_odd_tables(spark, docs):
