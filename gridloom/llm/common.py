@@ -62,5 +62,26 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
+#: Most bits that ``members`` may broadcast (16 MB).
+FILTER_BITS = 1 << 27
+
+
+def members(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of ``df`` whose ``key`` is in ``ids`` (one column, ``key``, distinct).
+
+    A bitmap of the hashed keys, 64 bits for each and at most ``FILTER_BITS``, is broadcast
+    to leave out most other rows before the exchange; the join decides.  Beyond that
+    size the bitmap fills up and leaves out less."""
+    n = ids.count()
+    buckets = min(FILTER_BITS, 1 << max(15, (64 * n).bit_length())) >> 15  # of 32,768 bits each
+    place = F.pmod(F.xxhash64(key), F.lit(buckets << 15))
+    bucket, at = F.shiftright(place, 15), place.bitwiseAND(F.lit((1 << 15) - 1))
+    maps = ids.select(bucket.alias("__bucket"), at.alias("__at")).groupBy("__bucket").agg(F.bitmap_construct_agg("__at").alias("__bits"))
+    byte = F.conv(F.hex(F.substring("__bits", F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    seen = F.getbit(byte, at.bitwiseAND(F.lit(7)).cast("int")) == 1
+    near = df.withColumn("__bucket", bucket).join(F.broadcast(maps), "__bucket").where(seen).select(*df.columns)
+    return near.join(ids, key).select(*df.columns)  # a semi-join would be moved before the bitmap
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

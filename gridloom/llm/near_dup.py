@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textops as tx
-from .common import stored
+from .common import members, stored
 
 #: Words of one shingle, and the least percentage that links two documents.
 SHINGLE, PERCENT = 5, 75
@@ -322,8 +322,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     known = signed.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = stored(known.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig")), "classes")
     ordered = stored(orders(classes.select("node", "sig")), "orders")
-    wanted = ordered.select(F.col("node").alias("doc_id")).distinct()
-    sets = stored(_sets(docs.join(wanted, "doc_id", "left_semi")).dropDuplicates(["node"]), "sets")
+    wanted = stored(ordered.select(F.col("node").alias("doc_id")).distinct(), "nodes")
+    sets = stored(_sets(members(docs.select("doc_id", "text"), wanted, "doc_id").dropDuplicates(["doc_id"])), "sets")
 
     open_ = stored(neighbours(ordered), "neighbours")
     tried = links = labels = None
