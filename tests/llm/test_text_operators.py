@@ -219,11 +219,11 @@ def test_surrogates(spark):
     assert out[1].n_entities == 5 and out[3].text is None and out[4].text == "" and out[5].text == "no entity 123"
     for secret in ("Anna", "example", "743", "10.0.0.7", "4111", "0a1b", "Smith", "John"):
         assert secret not in out[1].text and secret not in out[2].text
-    kinds = [k for _, _, k, _ in surrogates.detect(out[1].text)]
+    kinds = [x[2] for x in surrogates.detect(out[1].text)]
     assert kinds == ["email", "phone", "ipv4", "card", "secret"]
-    card = re.sub(r"\D", "", next(m for _, _, k, m in surrogates.detect(out[1].text) if k == "card"))
+    card = re.sub(r"\D", "", next(x[3] for x in surrogates.detect(out[1].text) if x[2] == "card"))
     assert surrogates._luhn(card[:-1]) == int(card[-1])
-    mail = [next(m for _, _, k, m in surrogates.detect(out[i].text) if k == "email") for i in (1, 2)]
+    mail = [next(x[3] for x in surrogates.detect(out[i].text) if x[2] == "email") for i in (1, 2)]
     assert mail[0].lower() == mail[1] and mail[0][0].isupper()
     names = re.search(r"Mr (\w+) (\w+); Mrs (\w+)", out[2].text)
     assert names[2] == names[3]
@@ -253,3 +253,84 @@ def test_collisions_are_resolved(spark, monkeypatch, limit):
     assert surrogates.assign(surrogates.entities(docs), key).count() > 0
     texts = {r.text for r in surrogates.pseudonymise(docs, "k").collect()}
     assert len(texts) == 4000 and not texts & {r.text for r in docs.collect()}
+
+
+def pseudonyms(spark, *texts, key="example key"):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    return [r.text for r in surrogates.pseudonymise(df, key).orderBy("doc_id").collect()]
+
+
+@pytest.mark.parametrize("text", ["write to g@u.com now", "g@u.com z@n.org g@s.io j@q.de y@b.de q@s.co", "İstanbul@mail.com", "иван@mail.com", "łukasz.żak@mail.com", "иван@почта.рф", "ΣΊΣΥΦΟΣ@mail.com"])
+def test_odd_addresses_end_and_leave_nothing(spark, text):
+    out = pseudonyms(spark, text)[0]
+    for word in re.findall(r"\S+@\S+", text):
+        local = word.partition("@")[0]
+        assert word not in out and (len(local) == 1 or not set(re.findall(r"\w+", local)) & set(re.findall(r"\w+", out)))
+    assert out.count("@") == text.count("@")
+
+
+def test_a_format_that_the_corpus_fills(spark):
+    """Every address of one letter is real: surrogates are longer, distinct and no one's."""
+    mails = [f"{a}@{b}.de" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    out = pseudonyms(spark, *mails)
+    assert len(set(out)) == len(mails) and not set(out) & set(mails)
+    assert all(re.fullmatch(r"[a-z]+@[a-z]\.de", x) for x in out)
+
+
+def test_names_corefer(spark):
+    text = "Mr John Smith met Mrs Mary Smith. John said to SMITH and Mary's friend: smith is a trade, Johnson not. O'John-Smith"
+    other = "Ms Anna came with Dr Mary Jones"
+    out, second = pseudonyms(spark, text, other)
+    m = re.fullmatch(r"Mr (\w+) (\w+) met Mrs (\w+) (\w+)\. (\w+) said to (\w+) and (\w+)'s friend: smith is a trade, Johnson not\. O'(\w+)-(\w+)", out)
+    john, smith, mary = m[1], m[2], m[3]
+    assert (m[4], m[5], m[6], m[7], m[8], m[9]) == (smith, john, smith.upper(), mary, john, smith)
+    assert john[-1] == "n" and mary[-1] == "a" and len({john, smith, mary}) == 3
+    n = re.fullmatch(r"Ms (\w+) came with Dr (\w+) (\w+)", second)
+    assert n[2] == mary and n[1][-1] == "a" and n[1] != "Anna"
+    chinese = pseudonyms(spark, "Dr 王 小明 来了。后来小明走了。")[0]
+    assert "小明" not in chinese and "王" not in chinese and len(chinese) == len("Dr 王 小明 来了。后来小明走了。")
+
+
+def test_more_kinds(spark):
+    text = "2001:db8::8a2e:370:7334 password: hunter2x! passport no. C01X00T47, born on 12.03.1985; 06 12 34 56 78 or +33 6 12 34 56 78 or 612 345 678; token = 'abcd1234efgh'"
+    out = pseudonyms(spark, text)[0]
+    for word in ("2001:db8", "hunter2x", "C01X00T47", "12.03.1985", "12 34 56", "345 678", "abcd1234"):
+        assert word in text and word not in out
+    assert re.search(r"born on \d\d\.\d\d\.(19|20)\d\d;", out)
+    assert re.sub(r"\w", "x", out) == re.sub(r"\w", "x", text)
+    plain = "At 12:34:56 std::vector a::b the secret: nothing, version 1.2.3, page 612 and 345"
+    assert pseudonyms(spark, plain) == [plain]
+
+
+def test_long_and_repeated_rows(spark):
+    long = "word " * 200_000 + "a.b@c.de"
+    out = pseudonyms(spark, long, "a.b@c.de", "a.b@c.de", None, "")
+    assert out[0].split()[-1] == out[1] == out[2] != "a.b@c.de" and out[0].startswith("word word") and out[3:] == [None, ""]
+
+
+def test_surrogates_against_brute_force(spark):
+    """Over a whole corpus: one surrogate for each entity, no two alike, none a real value,
+    the same format; and the texts are those with each mention replaced by it."""
+    import random
+
+    rng = random.Random(9)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    makers = [
+        lambda: f"{rng.choice('abcdefghijklm')}@{rng.choice('uvwxyz')}.com",
+        lambda: f"{digits(3)}-{digits(2)}-{digits(4)}",
+        lambda: ".".join(str(rng.randrange(256)) for _ in range(4)),
+        lambda: f"+49 {digits(3)} {digits(6)}"[:14],
+        lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40)),
+    ]
+    texts = [" and ".join(rng.choice(makers)() for _ in range(4)) for _ in range(150)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    key = surrogates.hashlib.sha256(b"key").digest()
+    drawn = surrogates._drawn(surrogates.entities(df), key).collect()
+    real = {(k, surrogates.canonical(k, m)) for t in texts for _, _, k, m, _ in surrogates.detect(t)}
+    assert {(r.kind, r.value) for r in drawn} == real and len(drawn) == len(real)
+    assert len({(r.kind, r.surrogate) for r in drawn}) == len(drawn)
+    assert not {(r.kind, r.surrogate) for r in drawn} & real and any(r.attempt for r in drawn)
+    given = {r.value: r.surrogate for r in drawn}
+    want = [" and ".join(given[re.sub(r"[ -]", "", x) if re.fullmatch(r"[+\d -]+", x) else x] for x in t.split(" and ")) for t in texts]
+    strip = lambda t: re.sub(r"(?<=\d)[ -](?=\d)", "", t)
+    assert [strip(t) for t in pseudonyms(spark, *texts, key="key")] == want
