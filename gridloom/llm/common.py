@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,9 +18,12 @@ _stored: list[str] = []
 
 
 def work_folder(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a new one only where it is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``; where that is unset, a new
+    one in local mode and an error on a cluster, whose machines share no temp folder."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
         spark.sparkContext.setCheckpointDir(folder)
@@ -34,8 +40,11 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """An operator's intermediate table, written and read back: it cuts the lineage, and
-    any executor can read it when another one is lost.  ``release`` deletes it."""
+    any executor can read it when another one is lost.  ``release`` deletes it, or
+    ``temporary_tables``, or else the end of the application."""
     out, path = written(df, name)
+    if not _stored:
+        atexit.register(_release_rest, df.sparkSession)
     _stored.append(path)
     return out
 
@@ -56,6 +65,28 @@ def release(spark: SparkSession, paths: list[str] | None = None) -> None:
             _stored.remove(name)
 
 
+def _release_rest(spark: SparkSession) -> None:
+    """At the end of the application, while its context is still open."""
+    atexit.unregister(_release_rest)
+    if spark.sparkContext._jsc is not None and _stored:
+        release(spark)
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at the end of the block, the intermediate tables that were made in it; write
+    the results inside.
+
+    >>> with temporary_tables(spark):
+    ...     near_duplicates(docs).write.parquet(path)
+    """
+    before = set(_stored)
+    try:
+        yield
+    finally:
+        release(spark, [p for p in stored_paths() if p not in before])
+
+
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Broadcast ``df`` if it has at most ``BROADCAST_ROWS`` rows, else leave the join to Spark."""
     n = df.limit(BROADCAST_ROWS + 1).count() if rows is None else rows

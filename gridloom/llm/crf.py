@@ -243,7 +243,13 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The columns of ``docs``, without the documents that score under 0.5."""
+    """The columns of ``docs``, without the documents that score under 0.5.
+
+    Null and empty texts score 0 and go; long texts are scored whole; repeated rows
+    and rows of a null doc_id are judged one by one; an empty table stays empty;
+    without labels of both kinds every text with words stays.  All other columns
+    pass through, whatever their names.
+    """
     held = "score" in docs.columns
     plain = docs.withColumnRenamed("score", "__own_score") if held else docs
     kept = score(plain, train(docs, labels)).where("score >= 0.5").drop("score")

@@ -152,8 +152,12 @@ def matches(w: tx.Words, index: ItemIndex) -> tuple[np.ndarray, np.ndarray, dict
     return hit, longest, items
 
 
+#: Names of the columns while documents pass the automata, and of the results.
+_PRIVATE = {"__spans": "spans", "__items": "items", "__n_words": "n_words", "__longest": "longest_match"}
+
+
 def _pass(docs: DataFrame, index: ItemIndex) -> DataFrame:
-    """Adds the spans and items that one automaton finds to ``spans`` and ``items``."""
+    """Adds the spans and items that one automaton finds to those of the ones before."""
     shared = docs.sparkSession.sparkContext.broadcast(index)
     schema = docs.schema
     spans_type, items_type = pa.list_(pa.struct([("first", pa.int32()), ("count", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])), pa.list_(pa.string())
@@ -163,41 +167,48 @@ def _pass(docs: DataFrame, index: ItemIndex) -> DataFrame:
             for part in tx.slices([batch]):
                 w = _tokens(part.column("text"))
                 hit, longest, items = matches(w, shared.value)
-                spans = [x or [] for x in part.column("spans").to_pylist()]
-                names = [x or [] for x in part.column("items").to_pylist()]
+                spans = [x or [] for x in part.column("__spans").to_pylist()]
+                names = [x or [] for x in part.column("__items").to_pylist()]
                 for row in items:
                     at = np.flatnonzero(hit[w.bounds[row] : w.bounds[row + 1]]) + w.bounds[row]
                     for run_ in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
                         base = w.offsets[row]
                         spans[row] = [*spans[row], {"first": int(run_[0] - w.bounds[row]), "count": len(run_), "start": int(w.start[run_[0]] - base), "end": int(w.end[run_[-1]] - base)}]
                     names[row] = sorted({*names[row], *items[row]})
-                new = {"spans": pa.array(spans, spans_type), "items": pa.array(names, items_type), "n_words": pa.array(np.diff(w.bounds), pa.int64()), "longest_match": pa.array(np.maximum(longest, np.asarray(part.column("longest_match"))), pa.int64())}
+                new = {"__spans": pa.array(spans, spans_type), "__items": pa.array(names, items_type), "__n_words": pa.array(np.diff(w.bounds), pa.int64()), "__longest": pa.array(np.maximum(longest, np.asarray(part.column("__longest"))), pa.int64())}
                 yield pa.RecordBatch.from_arrays([new.get(n, part.column(n)) for n in part.schema.names], names=part.schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, automaton_words: int = AUTOMATON_WORDS) -> DataFrame:
-    """``docs`` with n_words, spans (first word, count, byte start and end), items, longest_match.
-
-    Texts are lower-cased (A-Z) and cut into words of a-z, 0-9 and non-ASCII
-    characters.  A null or empty text has no words and no spans; a null item_id
-    counts as the empty string, repeated items as one; an empty benchmark finds
-    nothing.  Columns of ``docs`` with the names of new ones are replaced.
-    """
-    new = ("spans", "items", "n_words", "longest_match")
+def _searched(docs: DataFrame, benchmark: DataFrame, window: int, automaton_words: int) -> DataFrame:
+    """``docs`` with the private columns."""
     item = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
     size = F.coalesce(F.size(F.split("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0))
     total = item.agg(F.sum(size)).first()[0] or 0
     blocks = max(1, -(-int(total) // automaton_words))
     span = T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("count", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    out = docs.drop(*new).withColumns({"spans": F.lit(None).cast(span), "items": F.lit(None).cast("array<string>"), "n_words": F.lit(0).cast("long"), "longest_match": F.lit(0).cast("long")})
+    out = docs.withColumns({"__spans": F.lit(None).cast(span), "__items": F.lit(None).cast("array<string>"), "__n_words": F.lit(0).cast("long"), "__longest": F.lit(0).cast("long")})
     for block in range(blocks):
         mine = item if blocks == 1 else item.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block)
         out = _pass(out, build_index([tuple(r) for r in mine.collect()], window))
     return out
 
 
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, automaton_words: int = AUTOMATON_WORDS) -> DataFrame:
+    """``docs`` with n_words, spans (first word, count, byte start and end), items, longest_match.
+
+    Texts are lower-cased (A-Z) and cut into words of a-z, 0-9 and non-ASCII
+    characters.  A null or empty text has no words and no spans; a null item_id
+    counts as the empty string, repeated items as one; an empty benchmark finds
+    nothing; an empty table stays empty; repeated rows give equal rows; long texts
+    are searched whole.  Columns of ``docs`` with the names of new ones are
+    replaced, all others pass through.
+    """
+    found = _searched(docs.drop(*_PRIVATE.values()), benchmark, window, automaton_words)
+    return found.withColumnsRenamed(_PRIVATE)
+
+
 def hit_words(spans):
     """How many words the spans cover; spans of several automata may overlap."""
     words = F.flatten(F.transform(spans, lambda s: F.sequence(s["first"], s["first"] + s["count"] - 1)))
@@ -209,16 +220,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
 
     Spans of ``min_span`` words or more are cut out of the text, the rest of
     which stays as it is; documents with more than ``max_coverage`` of their
-    words hit are dropped.  ``n_chars`` follows the text where it exists.
+    words hit are dropped.  ``n_chars`` follows the text where it is an integer
+    column.  Null and empty texts have no spans and stay; rows of a null doc_id and
+    repeated rows are judged one by one; long texts are searched whole; an empty
+    table stays empty and an empty benchmark changes nothing.  All other columns
+    pass through, whatever their names.
     """
-    found = find_contamination(docs, benchmark, window)
-    kept = found.where(hit_words(F.col("spans")) <= F.col("n_words") * max_coverage)
-    schema, chars = docs.schema, "n_chars" in docs.columns
+    found = _searched(docs, benchmark, window, AUTOMATON_WORDS)
+    kept = found.where(hit_words(F.col("__spans")) <= F.col("__n_words") * max_coverage)
+    schema = docs.schema
+    chars = "n_chars" in docs.columns and schema["n_chars"].dataType.typeName() in ("short", "integer", "long")
 
     def run(batches):
         for batch in batches:
             columns = {n: batch.column(n) for n in schema.names}
-            spans = [[s for s in x or [] if s["count"] >= min_span] for x in batch.column("spans").to_pylist()]
+            spans = [[s for s in x or [] if s["count"] >= min_span] for x in batch.column("__spans").to_pylist()]
             if any(spans):
                 new = [_cut(t, s) if s else t for t, s in zip(columns["text"].to_pylist(), spans, strict=True)]
                 columns["text"] = pa.array(new, columns["text"].type)
@@ -227,7 +243,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
                     columns["n_chars"] = pa.array([len(t) if s else n for t, s, n in zip(new, spans, old, strict=True)], columns["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return kept.select(*docs.columns, "spans").mapInArrow(run, schema)
+    return kept.select(*docs.columns, "__spans").mapInArrow(run, schema)
 
 
 def _cut(text: str, spans) -> str:

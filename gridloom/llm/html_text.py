@@ -1,10 +1,11 @@
 """HTML extraction by line-block distribution.
 
-Markup is stripped so that each block of a page becomes one line; boilerplate
-elements leave a gap of empty lines.  Sums of text lengths over a sliding window
-of lines show where text surges and where it dives; what lies between is kept.
-Inside an ``article`` or ``main`` element every such stretch is the article's;
-without one, each stretch is judged by its own share of text in links.
+Markup is stripped so that each block of a page becomes one line; elements that are
+never text (menus, forms, adverts) leave a gap.  Between gaps, sums of unlinked text
+over a sliding window of lines say where text is: it dives where a window has none, as
+in a list of links, and surges where the windows without text end.  What lies between
+is kept, inside an ``article`` or ``main`` element as outside.  On pages without one,
+each stretch is also judged by its share of text in links, and loses links at its ends.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Lines in a window, and the empty lines that a removed element leaves.
+#: Lines in a window: so many without unlinked text are a menu, fewer are text.
 WINDOW = 3
 #: Outside an article element: most share of a stretch's text in links.
 MAX_LINKS = 0.5
@@ -25,7 +26,7 @@ MAX_LINKS = 0.5
 # Element names of the HTML standard by their role, and the words
 # in class, id and role attributes that mark boilerplate.
 _RAW = "script style textarea title noscript template iframe xmp noembed noframes svg math object canvas".split()
-_REMOVED = frozenset("head nav header footer aside form button select menu dialog datalist fieldset audio video map".split())
+_REMOVED = frozenset("head nav header footer aside button select menu dialog datalist fieldset audio video map".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split()
@@ -34,7 +35,9 @@ _WRAPPERS = frozenset("html body main article".split())
 _MARKED = frozenset(
     "ad ads advert adverts advertisement adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead "
     "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login search share sharing social related recommended comment comments "
-    "reply replies disqus pagination pager toolbar widget copyright legal disclaimer skip complementary contentinfo".split()
+    "reply replies disqus pagination pager toolbar widget copyright legal disclaimer skip complementary contentinfo "
+    "ad-banner ad-box ad-container ad-slot cookie-notice cookie-banner cookie-consent site-header site-footer page-footer site-nav main-nav main-menu side-bar comment-list comment-section "
+    "comments-section comments-area reader-comments newsletter-signup share-buttons social-share related-posts related-articles related-links skip-link".split()
 )
 _CLOSES_P = frozenset("p div ul ol li dl dt dd table tr td th h1 h2 h3 h4 h5 h6 section article main aside nav header footer form blockquote pre hr body html".split())
 
@@ -43,9 +46,9 @@ _MARKUP = re.compile(
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attributes>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<[!?/][^>]*>",
     re.S | re.I,
 )
-_MARKS = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_MARKS = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:\s|^)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
-_WORD = re.compile(r"[a-z]+")
+_TEXT = re.compile(r"[^\W_]")
 
 
 def _boilerplate(name: str, attributes: str) -> bool:
@@ -53,38 +56,44 @@ def _boilerplate(name: str, attributes: str) -> bool:
         return True
     if name in _WRAPPERS or not attributes:
         return False
-    marks = {w for m in _MARKS.finditer(attributes) for w in _WORD.findall((m[1] or m[2] or m[3] or "").lower())}
+    marks = {w for m in _MARKS.finditer(attributes) for w in (m[1] or m[2] or m[3] or "").lower().split()}
     return bool(marks & _MARKED) or bool(_HIDDEN.search(attributes))
 
 
 @dataclass
 class Line:
+    #: empty: a gap, where an element was left out
     text: str
-    linked: int
-    article: bool
+    #: characters outside and inside of links
+    plain: int = 0
+    linked: int = 0
+    article: bool = False
+    form: bool = False
 
 
 def page_lines(page: str) -> list[Line]:
-    """The page's blocks in order; removed elements are runs of empty lines."""
+    """The page's blocks in order; each removed element leaves a gap."""
     lines: list[Line] = []
     parts: list[str] = []
-    linked = articles = links = 0
+    plain = linked = articles = links = forms = 0
     removed, depth = "", 0  # the element that is being left out, and its nesting
 
     def end_line() -> None:
-        nonlocal linked
+        nonlocal plain, linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            lines.append(Line(text, min(linked, len(text)), articles > 0))
+            lines.append(Line(text, plain, linked, articles > 0, forms > 0))
         parts.clear()
-        linked = 0
+        plain = linked = 0
 
     def text_run(text: str) -> None:
-        nonlocal linked
+        nonlocal plain, linked
         if text and not removed:
             parts.append(text)
             if links:
                 linked += len(text)
+            elif _TEXT.search(html.unescape(text)):
+                plain += len(text)
 
     at = 0
     for m in _MARKUP.finditer(page):
@@ -109,7 +118,7 @@ def page_lines(page: str) -> list[Line]:
         if not closing and name not in _VOID and _boilerplate(name, m["attributes"]):
             if name not in _INLINE:
                 end_line()
-                lines.extend(Line("", 0, articles > 0) for _ in range(WINDOW))
+                lines.append(Line("", article=articles > 0))
             if not m[0].endswith("/>"):
                 removed, depth = name, 1
             continue
@@ -119,34 +128,45 @@ def page_lines(page: str) -> list[Line]:
             end_line()
             if name in ("article", "main"):
                 articles = max(0, articles + (-1 if closing else 1))
+            elif name == "form":
+                forms = max(0, forms + (-1 if closing else 1))
     text_run(page[at:])
     end_line()
     return lines
 
 
-def stretches(lengths: np.ndarray, window: int = WINDOW) -> list[tuple[int, int]]:
-    """[surge, dive) pairs: a surge is a line with text whose window before it has none,
-    a dive is the end of the last line before a whole window without text."""
-    if not len(lengths):
-        return []
-    total = np.concatenate([[0], np.cumsum(lengths)])
-    index = np.arange(len(lengths))
-    before = total[index] - total[np.maximum(index - window, 0)]
-    after = total[np.minimum(index + 1 + window, len(lengths))] - total[index + 1]
-    surges = np.flatnonzero((lengths > 0) & (before == 0))
-    dives = np.flatnonzero((lengths > 0) & (after == 0)) + 1
-    return list(zip(surges.tolist(), dives.tolist(), strict=True))
+def stretches(plain: np.ndarray, gap: np.ndarray, window: int = WINDOW) -> list[tuple[int, int]]:
+    """[surge, dive) pairs of lines: text dives at a gap, and at the first line of a window
+    whose sum of ``plain`` is 0; it surges behind a gap, and behind the last such window."""
+    n = len(plain)
+    total = np.concatenate([[0], np.cumsum(plain)])
+    gaps = np.concatenate([[0], np.cumsum(gap)])
+    out = gap.copy()
+    if n >= window:
+        none = (total[window:] == total[:-window]) & (gaps[window:] == gaps[:-window])
+        for k in range(window):
+            out[k : n - window + 1 + k] |= none
+    edge = np.diff(np.concatenate([[1], out.astype(int), [1]]))
+    return list(zip(np.flatnonzero(edge == -1).tolist(), np.flatnonzero(edge == 1).tolist(), strict=True))
 
 
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, window: int = WINDOW) -> str:
     lines = page_lines(page or "")
-    if any(line.article and line.text for line in lines):
-        lines = [line if line.article else Line("", 0, False) for line in lines]
-        kept = stretches(np.array([len(line.text) for line in lines]))
-    else:
-        found = [(sum(len(x.text) for x in lines[a:b]), sum(x.linked for x in lines[a:b]), a, b) for a, b in stretches(np.array([len(line.text) for line in lines]))]
-        kept = [(a, b) for n, linked, a, b in found if linked <= MAX_LINKS * n]
-    return " ".join(line.text for a, b in kept for line in lines[a:b] if line.text)
+    in_article = any(line.article and line.text for line in lines)
+    size = lambda form: sum(line.plain for line in lines if line.form == form)
+    whole_form = not in_article and size(True) > size(False)  # the form is around the page itself
+    gap = np.array([not line.text or line.form and not whole_form or in_article and not line.article for line in lines], bool)
+    kept: list[str] = []
+    for a, b in stretches(np.array([line.plain for line in lines], np.int64), gap, window):
+        part = lines[a:b]
+        if not in_article:
+            texts = [i for i, line in enumerate(part) if line.plain]
+            part = part[texts[0] : texts[-1] + 1] if texts else []
+            linked = sum(line.linked for line in part)
+            if linked > MAX_LINKS * (linked + sum(line.plain for line in part)):
+                continue
+        kept += [line.text for line in part]
+    return " ".join(kept)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

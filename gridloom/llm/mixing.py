@@ -90,8 +90,11 @@ def mix(
     ordered by md5(seed:e:doc_id), then doc_id; the prefix is the longest run of
     whole documents that fits.  Rows with one doc_id in one leaf go together.
     Null lang or source is the child "unknown", a null doc_id hashes as "", null
-    and empty texts have 0 tokens.  An empty table stays empty.  Leaves, never
-    documents, pass through one task.
+    and empty texts have 0 tokens; doc_ids of any type that has a text form will do.
+    Repeated rows are documents of their own; very long texts count whole.  An
+    empty table stays empty.  Columns of ``docs`` with the names of the five new
+    ones are replaced (``mixture`` keeps them).  Leaves, never documents, pass
+    through one task.
     """
     tree = ("mix_domain", "mix_lang", "mix_source")
     names = {
@@ -119,19 +122,34 @@ def mix(
     sums = sums.withColumn("upto", upto).where((F.col("upto") - F.col("tokens") <= F.col("rest")))
     last = sums.groupBy(*tree).agg(F.max_by(F.struct("bucket", (F.col("rest") - F.col("upto") + F.col("tokens")).alias("left")), "bucket").alias("last"))
     edge = rows.join(small(last, n_leaves), list(tree)).where(F.col("bucket") == F.col("last.bucket"))
-    reached = F.sum("tokens").over(Window.partitionBy(*tree).orderBy("seeded", F.col("doc_id").asc_nulls_first()))
+    # equal hashes are of equal doc_ids, but for a null and an empty one
+    place = F.struct("seeded", F.col("doc_id").isNotNull().alias("known"))
+    reached = F.sum("tokens").over(Window.partitionBy(*tree).orderBy("seeded", F.col("doc_id").isNotNull()))
     inside = edge.withColumn("fits", reached <= F.col("last.left"))
     cut = inside.groupBy(*tree).agg(
-        F.max(F.when(F.col("fits"), F.struct("seeded", F.coalesce("doc_id", F.lit(-(2**63))).alias("id")))).alias("cut"),
+        F.max(F.when(F.col("fits"), place)).alias("cut"),
         F.first("last.bucket").alias("edge"),
     )
     plan = stored(plan.join(cut, list(tree), "left"), "cuts")
     seen = docs.join(small(plan, n_leaves), list(tree)).withColumn("seeded", seeded).withColumn("bucket", bucket)
-    taken = (F.col("bucket") < F.col("edge")) | ((F.col("bucket") == F.col("edge")) & (F.struct("seeded", F.coalesce("doc_id", F.lit(-(2**63))).alias("id")) <= F.col("cut")))
+    taken = (F.col("bucket") < F.col("edge")) | ((F.col("bucket") == F.col("edge")) & (place <= F.col("cut")))
     copies = F.col("epochs") + F.coalesce(taken, F.lit(False)).cast("long")
     return seen.select(*own, *tree, count_words(F.col("text")).alias("n_tokens"), copies.alias("copies"))
 
 
 def repeat_copies(mixed: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The mixed corpus itself: every document as often as its copies say."""
-    return mixed.where(F.col("copies") > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*columns)
+    """The mixed corpus itself: every document as often as its copies say.
+
+    Documents without copies, or with a null there, are left out; an empty table
+    stays empty; nulls elsewhere, repeated rows and long texts pass through.
+    """
+    return mixed.where(F.col("copies") > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies").cast("long")))).select(*columns)
+
+
+def mixture(docs: DataFrame, weights: Mapping[tuple[str, ...], float], fraction: float = 0.5, max_epochs: float = 2.0, seed: int = 17, domain: Column | None = None) -> DataFrame:
+    """The mixed corpus with exactly the columns of ``docs``, whatever their names; odd
+    values are treated as in ``mix``."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
+    packed = docs.select("doc_id", "lang", "source", "text", row) if domain is None else docs.select("doc_id", "lang", "source", "text", row, domain.alias("__domain"))
+    mixed = mix(packed, weights, fraction, max_epochs, seed, None if domain is None else F.col("__domain"))
+    return repeat_copies(mixed, ["__row"]).select("__row.*")

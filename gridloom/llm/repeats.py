@@ -272,7 +272,11 @@ def repeat_report(docs: DataFrame) -> DataFrame:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The columns of ``docs``; texts with recurring passages become their kept words,
-    joined by one space, and all other texts stay as they are."""
+    joined by one space, and all other texts stay as they are, null ones too.
+
+    Rows that repeat a doc_id are one document and never lose words to each other;
+    an empty table stays empty; other columns pass through.
+    """
     _, found = _found(docs)
     keyed = docs.withColumn("__version", F.xxhash64("text"))
     cut = found.select("doc_id", F.col("version").alias("__version"), F.col("kept").alias("__kept"))

@@ -101,23 +101,33 @@ def shard(df: DataFrame, key: Column, size: Column, shards: int = 16, tolerance:
     return placed.withColumn("slot", F.col("__first") + F.col("__at")).drop("__key", "__size", "__interval", "__at", "__first")
 
 
-def sized_documents(docs: DataFrame, keep_text: bool = False) -> DataFrame:
-    """Stored (doc_id, size, text_crc32, order key) of documents: size is the text's
-    UTF-8 bytes (null: none) plus 1."""
-    text = F.coalesce("text", F.lit(""))
-    added = {"size": (F.octet_length(text) + 1).cast("long"), "text_crc32": F.crc32(text), "order_key": order_key(F.col("doc_id"), F.col("text"))}
-    columns = [*docs.columns] if keep_text else ["doc_id"]
-    return stored(docs.withColumns(added).select(*[c for c in columns if c not in added], *added), "sized")
+def _sized(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """Stored ``columns`` of documents with __bytes, the text's UTF-8 bytes (null: none)
+    plus 1, and __order, the key."""
+    size = (F.octet_length(F.coalesce("text", F.lit(""))) + 1).cast("long")
+    return stored(docs.select(*columns, size.alias("__bytes"), order_key(F.col("doc_id"), F.col("text")).alias("__order")), "sized")
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, tolerance: float = 0.001) -> DataFrame:
-    """Law ``bytes``: doc_id, size, text_crc32, law, shard, slot, grown_shard (null)."""
-    placed = shard(sized_documents(docs), F.col("order_key"), F.col("size"), shards, tolerance)
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    """Law ``bytes``: doc_id, size, text_crc32, law, shard, slot, grown_shard (null).
+
+    The key is a hash of doc_id and text.  So equal texts of different documents
+    are spread like any others: a group of copies may hold a third of all bytes,
+    and kept together it would break the law.  Rows that agree in doc_id and text
+    have one key and stay together.  A null text has the size 1; a null doc_id is
+    a value like any other; an empty table stays empty; long texts count whole.
+    Other columns are ignored.
+    """
+    crc = F.crc32(F.coalesce("text", F.lit("")))
+    placed = shard(_sized(docs.select("doc_id", "text", crc.alias("text_crc32")), ["doc_id", "text_crc32"]), F.col("__order"), F.col("__bytes"), shards, tolerance)
+    return placed.select("doc_id", F.col("__bytes").alias("size"), "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def shard_rows(docs: DataFrame, shards: int = 16, tolerance: float = 0.001) -> DataFrame:
-    """All columns of ``docs`` plus shard and slot, sharded by the bytes of text."""
+    """All columns of ``docs`` plus shard and slot, sharded by the bytes of text.
+
+    Columns of ``docs`` named shard or slot are replaced, all others pass through.
+    Nulls, copies, long texts and empty tables are as in ``shard_documents``.
+    """
     kept = [c for c in docs.columns if c not in ("shard", "slot")]
-    sized = sized_documents(docs.select(*kept), keep_text=True)
-    return shard(sized, F.col("order_key"), F.col("size"), shards, tolerance).select(*kept, F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"))
+    return shard(_sized(docs, kept), F.col("__order"), F.col("__bytes"), shards, tolerance).select(*kept, F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"))

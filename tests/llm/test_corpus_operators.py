@@ -293,6 +293,71 @@ def test_budgets_pass_by_a_leaf_of_weight_zero(spark):
     assert got(200_000) == {"src10": 0, "src11": 2_000, "src12": 132_000}
 
 
+def test_mixing_of_odd_tables(spark):
+    """Ids of letters, clashing columns, repeated rows and a long text."""
+    rows = [(f"id{i}", "w " * (1 + i % 7), "en", f"src{i % 3}", 77, 5, 1) for i in range(300)] + [("id1", "w w", "en", "src1", 77, 5, 1), (None, "x " * 100_000, None, "src0", 1, 1, 1)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, lang string, source string, copies int, n_tokens int, mix_domain int")
+    out = mixing.mixture(docs, {("web",): 2.0}, fraction=0.9)
+    assert out.schema == docs.schema or [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
+    got = {r.copies for r in out.where("doc_id IS NOT NULL").collect()}
+    assert got == {77} and 0 < out.count() <= 2 * len(rows)
+    assert mixing.mix(docs, {}).count() == len(rows)
+
+
+STAGE_ROWS = [
+    (1, None, None, None, None, 1, "a", 2, 3, 4, 5, 6, 7), (2, "", "en", "src0", 0, 1, "a", 2, 3, 4, 5, 6, 7), (None, "null id with words. " * 30, "de", "src3", 5, 1, "a", 2, 3, 4, 5, 6, 7),
+    *[(3, "the same row twice, with words in it. " * 3, "en", "src12", 9, 1, "a", 2, 3, 4, 5, 6, 7)] * 2,
+    (4, "long " * 120_000, "en", "src1", 600_000, 1, "a", 2, 3, 4, 5, 6, 7),
+    *[(i, f"Some text of number {i}, and no other text says {i * i} as this.", "en", f"src{i % 14}", 60, 1, "a", 2, 3, 4, 5, 6, 7) for i in range(10, 60)],
+]
+STAGE_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, spans int, items string, n_words int, score int, copies int, size int, node int, component int"
+
+
+@pytest.fixture(scope="module")
+def pipeline():
+    spec = importlib.util.spec_from_file_location("corpus_pipeline", Path(__file__).parent.parent.parent / "corpus_pipeline.py")
+    module = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(module)
+    return module
+
+
+@pytest.mark.parametrize("at", range(5))
+def test_stages_of_odd_tables(spark, sf_dir, pipeline, at):
+    docs = spark.createDataFrame(STAGE_ROWS, STAGE_SCHEMA).repartition(3)
+    name, step = pipeline.STAGES[at]
+    out = step(spark, docs, sf_dir)
+    assert out.columns == [*docs.columns, *(["shard", "slot"] if name == "sharding" else [])]
+    rows = out.collect()
+    assert {r.items for r in rows} <= {"a"} and {r.size for r in rows} <= {5} and {(r.spans, r.n_words, r.score, r.copies) for r in rows} <= {(1, 2, 3, 4)}
+    texts = {r[1] for r in STAGE_ROWS}
+    assert {r.text for r in rows} <= texts and rows
+    if name in ("near_dedup", "decontamination", "sharding"):
+        assert len(rows) == len(STAGE_ROWS)
+    assert step(spark, docs.limit(0), sf_dir).count() == 0
+
+
+def test_stages_chain_without_being_written(spark, sf_dir, pipeline):
+    docs = spark.createDataFrame(STAGE_ROWS, STAGE_SCHEMA)
+    assert pipeline.remove_benchmark(spark, pipeline.deduplicate(spark, docs, sf_dir), sf_dir).count() == len(STAGE_ROWS)
+
+
+def test_tables_go_at_the_end(spark, docs):
+    from gridloom.llm import common
+
+    before = common.stored_paths()
+    with common.temporary_tables(spark):
+        assert near_dup.near_duplicates(docs).count() and len(common.stored_paths()) > len(before)
+    assert common.stored_paths() == before
+    ids = spark.range(100_000).withColumnRenamed("id", "k")
+    some = ids.where("k % 7 = 1")
+    for bits in (1 << 15, 1 << 27):
+        common.FILTER_BITS, kept = bits, common.FILTER_BITS
+        try:
+            assert common.members(ids, some, "k").count() == some.count()
+        finally:
+            common.FILTER_BITS = kept
+
+
 def test_pipeline(spark, sf_dir):
     spec = importlib.util.spec_from_file_location("corpus_pipeline", Path(__file__).parent.parent.parent / "corpus_pipeline.py")
     pipeline = importlib.util.module_from_spec(spec)

@@ -51,9 +51,66 @@ def test_short_parts_of_a_long_page_stay():
 def test_stretches_surge_and_dive():
     import numpy as np
 
-    lengths = np.array([0, 0, 5, 9, 0, 0, 7, 0, 0, 0, 3])
-    assert html_text.stretches(lengths) == [(2, 7), (10, 11)]
-    assert html_text.stretches(np.array([], int)) == []
+    plain = np.array([0, 0, 0, 5, 9, 0, 0, 7, 0, 0, 0, 0, 3])
+    gap = np.zeros(13, bool)
+    assert html_text.stretches(plain, gap) == [(3, 8), (12, 13)]
+    assert html_text.stretches(plain, gap, 2) == [(3, 5), (7, 8), (12, 13)]
+    gap[6] = True
+    assert html_text.stretches(plain, gap) == [(3, 6), (7, 8), (12, 13)]
+    assert html_text.stretches(np.array([], int), np.array([], bool)) == []
+
+
+def test_windows_decide_inside_articles():
+    """A list of links is a menu if it fills a window, and text if it is shorter."""
+    links = "".join(f"<li><a href=x{i}>Link {i}</a>" for i in range(4))
+    page = f"<article><p>First.</p><ul>{links}</ul><p>Last, <a href=y>linked</a>.</p><p><a href=z>A linked end</a></p></article>"
+    with_links = "First. Link 0 Link 1 Link 2 Link 3 Last, linked. A linked end"
+    assert html_text.main_text(page) == html_text.main_text(page, 4) == "First. Last, linked. A linked end"
+    assert html_text.main_text(page, 5) == with_links
+    bare = page.replace("article>", "div>").replace("First.", "First, and much more of it.")
+    assert html_text.main_text(bare) == "First, and much more of it. Last, linked."
+    assert html_text.main_text(bare, 5) == "First, and much more of it. Link 0 Link 1 Link 2 Link 3 Last, linked."
+
+
+def test_class_names_count_as_wholes():
+    kept = ("page-header", "related-work", "ad-hoc", "legal-analysis", "share-price", "search-engines", "layout no-sidebar")
+    page = "<article><h1 class='page-header'>T</h1>" + "".join(f"<p class='{c}'>{c}.</p>" for c in kept) + "<div class='x comments'>gone</div><p role=search>gone</p></article>"
+    assert html_text.main_text(page) == "T " + " ".join(f"{c}." for c in kept)
+    assert html_text.main_text("<form>" + "<p>All of the page.</p>" * 3 + "</form><footer>f</footer>") == " ".join(["All of the page."] * 3)
+    assert html_text.main_text("<p>Some text here.</p><form><label>Name</label></form>") == "Some text here."
+
+
+def test_pages_against_brute_force(spark, sf_dir):
+    """The tables' pages, by the standard library's parser: blocks of text in the article."""
+    from html.parser import HTMLParser
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.inside, self.blocks, self.raw = 0, [""], 0
+
+        def handle_starttag(self, tag, attrs):
+            self.inside += tag == "article"
+            self.raw += tag in ("script", "style")
+            if tag not in ("b", "i", "a", "em", "span"):
+                self.blocks.append("")
+
+        def handle_endtag(self, tag):
+            self.inside -= tag == "article"
+            self.raw -= tag in ("script", "style")
+            if tag not in ("b", "i", "a", "em", "span"):
+                self.blocks.append("")
+
+        def handle_data(self, data):
+            if self.inside and not self.raw:
+                self.blocks[-1] += data
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    got = {r.page_id: r.text for r in html_text.extract_pages(pages).collect()}
+    for r in pages.collect():
+        parser = Article()
+        parser.feed(r.html or "")
+        assert got[r.page_id] == " ".join(t for b in parser.blocks if (t := " ".join(b.split())))
 
 
 def repeated(rows, window=50):
@@ -334,3 +391,16 @@ def test_surrogates_against_brute_force(spark):
     want = [" and ".join(given[re.sub(r"[ -]", "", x) if re.fullmatch(r"[+\d -]+", x) else x] for x in t.split(" and ")) for t in texts]
     strip = lambda t: re.sub(r"(?<=\d)[ -](?=\d)", "", t)
     assert [strip(t) for t in pseudonyms(spark, *texts, key="key")] == want
+
+
+def test_contamination_of_odd_tables(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    rows = [(1, f"{item} " + "more " * 30, 5, "x", "y", 1.5), (1, f"{item} " + "more " * 30, 5, "x", "y", 1.5), (None, None, None, None, None, None), (3, "fine " * 50_000, 1, "", "", 0.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans int, items string, n_words string, longest_match double")
+    benchmark = spark.createDataFrame([(None, item), ("b", None), ("c", "")], "item_id string, text string")
+    out = decontaminate.decontaminate(docs, benchmark).collect()
+    assert [(r.spans, r["items"], r.n_words, r.longest_match) for r in out] == [r[2:] for r in rows]
+    assert [len(r.text or "") for r in out] == [len(" " + "more " * 30)] * 2 + [0, 250_000]
+    found = decontaminate.find_contamination(docs, benchmark).collect()
+    assert [(len(r.spans), r["items"], r.n_words) for r in found] == [(1, [""], 40), (1, [""], 40), (0, [], 0), (0, [], 50_000)]
+    assert decontaminate.contamination_report(docs.limit(0), benchmark).count() == 0
