@@ -1,9 +1,10 @@
 """Row bands: frames as binary strips, for grids too large for a row per cell.
 
 A band holds some rows of one frame as float32 bytes, with the row above it as a
-halo.  Lagging the binary column aligns each band with the same band a frame
-before, so a 3-D difference of any grid costs one exchange of the packed bytes,
-and NumPy works on whole strips in the tasks.
+halo.  Slabs of frames of a band are dealt to the tasks, each with the frame before it,
+and lagging the binary column there aligns each band with the same band a frame
+before.  So a 3-D difference of any grid costs one exchange of the packed bytes, in as
+many parts as the grid has slabs, and NumPy works on whole strips.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from .delta import REGIONS
 #: Rows of a band: at 1,440 columns a strip has 0.4 MB.
 ROWS = 64
 BAND = "t int, band int, y0 int, halo int, nx int, data binary"
+#: Frames of one slab of a band, which one task takes, besides the frame before them.
+SLAB = 32
 #: Distinct residuals that a task gathers before it gives out its counts.
 HELD = 2_000_000
 
@@ -61,9 +64,14 @@ def to_bands(cells: DataFrame, rows: int = ROWS) -> DataFrame:
 
 
 def delta3d_counts(bands: DataFrame) -> DataFrame:
-    """(region, value, n): the exact distribution of 3-D differences of the words."""
-    order = Window.partitionBy("band").orderBy("t")
-    pairs = bands.withColumn("before", F.lag("data").over(order))
+    """(region, value, n): the exact distribution of 3-D differences of the words.
+
+    The frames must be 0, 1, 2 and so on, without gaps."""
+    own = F.floor(F.col("t") / SLAB).cast("int")
+    slabs = F.when(F.pmod("t", F.lit(SLAB)) == SLAB - 1, F.array(own, own + 1)).otherwise(F.array(own))
+    dealt = bands.withColumn("slab", F.explode(slabs))
+    order = Window.partitionBy("band", "slab").orderBy("t")
+    pairs = dealt.withColumn("before", F.lag("data").over(order)).where(F.col("slab") == own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in REGIONS]
@@ -78,7 +86,9 @@ def delta3d_counts(bands: DataFrame) -> DataFrame:
         for batch in batches:
             for r in batch.to_pylist():
                 strip = np.frombuffer(r["data"], "<u4").reshape(-1, r["nx"]).astype(np.int64)
-                if r["before"] is not None:
+                if r["before"] is None and r["t"]:
+                    raise ValueError(f"the frame before {r['t']} is missing")
+                if r["t"]:
                     strip = strip - np.frombuffer(r["before"], "<u4").reshape(-1, r["nx"])
                 d = np.diff(np.diff(strip, axis=1, prepend=0), axis=0, prepend=0)[r["halo"] :]
                 for k, part in enumerate(_regions(d, r["t"] == 0, r["y0"] == 0)):

@@ -11,7 +11,6 @@ import gzip
 import lzma
 import zlib
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,29 +21,19 @@ from pyspark.sql import functions as F
 from .delta import CHUNK, with_chunk
 
 
-@dataclass(frozen=True)
-class Mode:
-    """Which steps a block goes through before it is compressed."""
-
-    name: str
-    delta: bool
-    zigzag: bool
-    reorder: bool
-    bitshuffle: bool
-
-
-#: The transform modes to compare.
-MODES = {
-    m.name: m
-    for m in (
-        Mode("raw_bitshuffle", False, False, False, True),
-        Mode("delta_noshuffle", True, False, False, False),
-        Mode("delta_bitshuffle", True, False, False, True),
-        Mode("delta_zigzag_noshuffle", True, True, False, False),
-        Mode("delta_zigzag_bitshuffle", True, True, False, True),
-        Mode("delta_zigzag_reorder_bitshuffle", True, True, True, True),
-    )
-}
+#: The reversible steps of a block, in the order in which they can follow each other;
+#: planes, the bits of all words plane by plane, may follow any of them.
+CHAIN, PLANES = ("delta", "zigzag", "reorder"), "planes"
+
+
+def _chains() -> dict[str, tuple[str, ...]]:
+    """Every start of the chain, with planes and without, but for no step at all."""
+    starts = [CHAIN[:n] for n in range(len(CHAIN) + 1)]
+    return {"+".join(steps): steps for start in starts for steps in (start, (*start, PLANES)) if steps}
+
+
+#: The transform modes to compare: name -> steps.
+MODES = _chains()
 
 
 def _zstd(level: int) -> tuple[Callable[[bytes], bytes], Callable[[bytes], bytes]]:
@@ -135,32 +124,58 @@ def _region_order(shape: tuple[int, ...]) -> np.ndarray:
     return np.argsort(rank, kind="stable")
 
 
-def encode_words(words: np.ndarray, mode: Mode) -> np.ndarray:
-    """A chunk of uint32 words through a mode's reversible steps; flat."""
-    out = words
-    if mode.delta:
-        for axis in range(3):
-            out = np.diff(out, axis=axis, prepend=np.uint32(0))
-    if mode.zigzag:
-        out = (out << np.uint32(1)) ^ (np.uint32(0) - (out >> np.uint32(31)))
-    flat = out.ravel()
-    return flat[_region_order(words.shape)] if mode.reorder else flat
+def _delta(flat: np.ndarray, shape: tuple[int, ...]) -> np.ndarray:
+    out = flat.reshape(shape)
+    for axis in range(out.ndim):
+        out = np.diff(out, axis=axis, prepend=np.uint32(0))
+    return out.ravel()
 
 
-def decode_words(flat: np.ndarray, shape: tuple[int, ...], mode: Mode) -> np.ndarray:
-    if mode.reorder:
-        placed = np.empty_like(flat)
-        placed[_region_order(shape)] = flat
-        flat = placed
+def _undo_delta(flat: np.ndarray, shape: tuple[int, ...]) -> np.ndarray:
     out = flat.reshape(shape)
-    if mode.zigzag:
-        out = (out >> np.uint32(1)) ^ (np.uint32(0) - (out & np.uint32(1)))
-    if mode.delta:
-        for axis in range(3):
-            out = np.cumsum(out, axis=axis, dtype=np.uint32)
+    for axis in range(out.ndim):
+        out = np.cumsum(out, axis=axis, dtype=np.uint32)
+    return out.ravel()
+
+
+def _undo_reorder(flat: np.ndarray, shape: tuple[int, ...]) -> np.ndarray:
+    out = np.empty_like(flat)
+    out[_region_order(shape)] = flat
     return out
 
 
+#: step -> (forward, backward), from flat words and their block's shape to flat words.
+_STEPS = {
+    "delta": (_delta, _undo_delta),
+    "zigzag": (
+        lambda w, _: (w << np.uint32(1)) ^ (np.uint32(0) - (w >> np.uint32(31))),
+        lambda w, _: (w >> np.uint32(1)) ^ (np.uint32(0) - (w & np.uint32(1))),
+    ),
+    "reorder": (lambda w, shape: w[_region_order(shape)], _undo_reorder),
+}
+
+
+def encode_words(words: np.ndarray, mode: Sequence[str]) -> bytes:
+    """A chunk of uint32 words through a mode's steps."""
+    flat = words.ravel()
+    for step in mode:
+        if step != PLANES:
+            flat = _STEPS[step][0](flat, words.shape)
+    return bit_shuffle(flat.tobytes()) if PLANES in mode else flat.tobytes()
+
+
+def decode_words(coded: bytes, shape: tuple[int, ...], mode: Sequence[str]) -> np.ndarray:
+    flat = np.frombuffer(bit_shuffle(coded, undo=True) if PLANES in mode else coded, "<u4")
+    for step in reversed(mode):
+        if step != PLANES:
+            flat = _STEPS[step][1](flat, shape)
+    return flat.reshape(shape)
+
+
+def _words(r: dict) -> np.ndarray:
+    return np.frombuffer(r["data"], "<u4").reshape(r["nt"], r["ny"], r["nx"])
+
+
 BLOCK = "ct int, cy int, cx int, nt int, ny int, nx int, data binary"
 
 
@@ -193,33 +208,26 @@ def from_blocks(blocks: DataFrame, chunk: Sequence[int] = CHUNK) -> DataFrame:
     return blocks.mapInArrow(run, "t int, y int, x int, v float")
 
 
-def encode_blocks(blocks: DataFrame, mode: Mode, codec: str) -> DataFrame:
+def encode_blocks(blocks: DataFrame, mode: Sequence[str], codec: str) -> DataFrame:
     """Blocks with data transformed and compressed, and size, their bytes."""
     encode, _ = CODECS[codec_names(codec)[0]]
 
     def run(batches):
         for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                flat = encode_words(np.frombuffer(r["data"], "<u4").reshape(r["nt"], r["ny"], r["nx"]), mode).tobytes()
-                out.append(encode(bit_shuffle(flat) if mode.bitshuffle else flat))
+            out = [encode(encode_words(_words(r), mode)) for r in batch.to_pylist()]
             columns = [pa.array(out, pa.binary()) if n == "data" else batch.column(n) for n in batch.schema.names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([len(x) for x in out], pa.int64())], names=[*batch.schema.names, "size"])
 
     return blocks.mapInArrow(run, f"{BLOCK}, size long")
 
 
-def decode_blocks(stored: DataFrame, mode: Mode, codec: str) -> DataFrame:
+def decode_blocks(stored: DataFrame, mode: Sequence[str], codec: str) -> DataFrame:
     """The blocks again, bit by bit."""
     _, decode = CODECS[codec_names(codec)[0]]
 
     def run(batches):
         for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                flat = decode(r["data"])
-                flat = np.frombuffer(bit_shuffle(flat, undo=True) if mode.bitshuffle else flat, "<u4")
-                out.append(decode_words(flat, (r["nt"], r["ny"], r["nx"]), mode).tobytes())
+            out = [decode_words(decode(r["data"]), (r["nt"], r["ny"], r["nx"]), mode).tobytes() for r in batch.to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()) if n == "data" else batch.column(n) for n in batch.schema.names if n != "size"], names=[n for n in batch.schema.names if n != "size"])
 
     return stored.mapInArrow(run, BLOCK)
@@ -228,22 +236,26 @@ def decode_blocks(stored: DataFrame, mode: Mode, codec: str) -> DataFrame:
 def codec_records(blocks: DataFrame, modes: Sequence[str] = tuple(MODES), codecs: Sequence[str] = ("zstd_5",)) -> DataFrame:
     """(mode, codec, blocks, raw_bytes, size_bytes, bits_per_value, ratio, mismatches).
 
-    Every block is decoded again and compared with its source, bit by bit.
+    Every block is encoded, decoded again and compared with its source, bit by bit, in
+    one pass over the blocks for all modes and codecs; only sizes leave the tasks.
     """
-    out = None
-    for mode in modes:
-        for codec in codec_names(codecs):
-            coded = encode_blocks(blocks, MODES[mode], codec)
-            again = decode_blocks(coded, MODES[mode], codec).select("ct", "cy", "cx", F.col("data").alias("again"))
-            pairs = blocks.select("ct", "cy", "cx", "data").join(again, ["ct", "cy", "cx"]).join(coded.select("ct", "cy", "cx", "size"), ["ct", "cy", "cx"])
-            row = pairs.agg(
-                F.count(F.lit(1)).alias("blocks"),
-                F.sum(F.octet_length("data")).alias("raw_bytes"),
-                F.sum("size").alias("size_bytes"),
-                F.count_if(F.col("data") != F.col("again")).alias("mismatches"),
-            ).select(F.lit(mode).alias("mode"), F.lit(codec).alias("codec"), "*")
-            out = row if out is None else out.unionByName(row)
-    return out.withColumns({"bits_per_value": F.col("size_bytes") * 32.0 / F.col("raw_bytes"), "ratio": F.col("raw_bytes") / F.col("size_bytes")})
+    ways = [(mode, MODES[mode], codec, *CODECS[codec]) for mode in modes for codec in codec_names(codecs)]
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                words = _words(r)
+                for mode, steps, codec, encode, decode in ways:
+                    coded = encode(encode_words(words, steps))
+                    again = decode_words(decode(coded), words.shape, steps)
+                    rows.append((mode, codec, len(r["data"]), len(coded), int(again.tobytes() != r["data"])))
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], k) for i, k in enumerate(kinds)], names=["mode", "codec", "raw", "size", "differs"])
+
+    sizes = blocks.mapInArrow(run, "mode string, codec string, raw long, size long, differs long")
+    total = sizes.groupBy("mode", "codec").agg(F.count(F.lit(1)).alias("blocks"), F.sum("raw").alias("raw_bytes"), F.sum("size").alias("size_bytes"), F.sum("differs").alias("mismatches"))
+    return total.withColumns({"bits_per_value": F.col("size_bytes") * 32.0 / F.col("raw_bytes"), "ratio": F.col("raw_bytes") / F.col("size_bytes")})
 
 
 def best_mode(records: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from ..functions import bits
 
 #: Cells of one chunk in time, rows and columns.
 CHUNK = (24, 128, 256)
-# Regions of the difference tensor by which coordinates are 0, in storage order.
+# The regions of the difference tensor by which coordinates are 0, in storage order.
 REGIONS = ("interior", "t0_face", "lat0_face", "lon0_face", "t0_lat0_edge", "t0_lon0_edge", "lat0_lon0_edge", "vertex")
 
 
@@ -125,11 +127,24 @@ def naive_diff(cells: DataFrame, block: int, value: str = "v") -> DataFrame:
 
 
 def naive_undiff(cells: DataFrame, value: str = "diff", to: str = "v") -> DataFrame:
-    """Decodes ``naive_diff`` by adding up float32 values frame by frame.
+    """Decodes ``naive_diff`` by adding up float32 values frame by frame, for one row of
+    cells of one block at a time.
 
     Rounded differences don't always add up to the exact value; compare to see.
     """
-    order = Window.partitionBy("y", "x", "block").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    parts = F.collect_list(value).over(order)
-    zero = F.lit(0.0).cast("float")
-    return cells.withColumn(to, F.aggregate(parts, zero, lambda a, d: (a + d).cast("float")))
+    schema = cells.drop(to).withColumn(to, F.lit(0.0).cast("float")).schema
+    names = [n for n in schema.names if n != to]
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("x", "ascending"), ("t", "ascending")])
+        x, t = (np.asarray(table.column(c)) for c in "xt")
+        part = np.asarray(table.column(value)).astype(np.float32)
+        starts = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+        place = np.arange(len(x)) - np.repeat(starts, np.diff(np.append(starts, len(x))))
+        out = part.copy()
+        for step in range(1, int(place.max()) + 1):
+            now = np.flatnonzero(place == step)
+            out[now] = out[now - 1] + part[now]
+        return pa.table({**{n: table.column(n) for n in names}, to: pa.array(out, pa.float32())})
+
+    return cells.select(*names).groupBy("y", "block").applyInArrow(run, schema)

@@ -34,7 +34,7 @@ def summary(dist: DataFrame, *keys: str) -> DataFrame:
     """
     value, n = F.col("value").cast("double"), F.col("n")
     mean = dist.groupBy(*keys).agg(F.sum("n").alias("count"), (F.sum(value * n) / F.sum("n")).alias("mean"))
-    both = dist.join(F.broadcast(mean), list(keys)) if keys else dist.crossJoin(F.broadcast(mean))
+    both = dist.join(mean, list(keys)) if keys else dist.crossJoin(F.broadcast(mean))
     p = n / F.col("count")
     share = lambda k: F.sum(F.when(F.pmod("value", F.lit(k)) == 0, n).otherwise(0))
     return both.groupBy(*keys, "count", "mean").agg(
@@ -61,13 +61,68 @@ def weighted_entropy(entropies: DataFrame) -> DataFrame:
     return entropies.agg((F.sum(F.col("count") * F.col("entropy")) / F.sum("count")).alias("entropy"))
 
 
+def bucket(value: Column) -> Column:
+    """A monotone bucket of a whole number: its sign, bit length and top seven bits."""
+    size = F.abs(value)
+    length = F.length(F.bin(size))
+    top = F.call_function("shiftright", size, F.greatest(length - 7, F.lit(0)))
+    return F.signum(value.cast("double")).cast("long") * (length * 128 + top)
+
+
+def ranked(dist: DataFrame, *keys: str) -> DataFrame:
+    """Adds upto, the counts up to each value in order, total, and before, the value before.
+
+    Values are ordered inside ``bucket``s; only the buckets' sums, some thousand rows for
+    each of ``keys``, are added up in one task."""
+    placed = dist.withColumn("__bucket", bucket(F.col("value")))
+    sums = placed.groupBy(*keys, "__bucket").agg(F.sum("n").alias("__sum"), F.max("value").alias("__last"))
+    along = Window.partitionBy(*keys).orderBy("__bucket")
+    sums = sums.withColumns(
+        {
+            "__below": F.coalesce(F.sum("__sum").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+            "total": F.sum("__sum").over(Window.partitionBy(*keys)),
+            "__before": F.lag("__last").over(along),
+        }
+    ).drop("__sum", "__last")
+    inside = Window.partitionBy(*keys, "__bucket").orderBy("value")
+    upto = F.col("__below") + F.sum("n").over(inside)
+    before = F.coalesce(F.lag("value").over(inside), F.col("__before"))
+    return placed.join(sums, [*keys, "__bucket"]).withColumns({"upto": upto, "before": before}).drop("__bucket", "__below", "__before")
+
+
 def quantiles(dist: DataFrame, *keys: str, probabilities: Sequence[float] = PROBABILITIES) -> DataFrame:
     """Order statistics at the 0-based index p * (n - 1), rounded half to even."""
-    upto = F.sum("n").over(Window.partitionBy(*keys).orderBy("value"))
-    total = F.sum("n").over(Window.partitionBy(*keys))
-    ranked = dist.withColumns({"upto": upto, "total": total})
-    wanted = ranked.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])))
-    return wanted.where(F.col("upto") > F.rint(F.col("p") * (F.col("total") - 1))).groupBy(*keys, "p").agg(F.min("value").alias("value"))
+    rows = ranked(dist, *keys)
+    wanted = rows.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])))
+    index = F.rint(F.col("p") * (F.col("total") - 1))
+    return wanted.where((F.col("upto") > index) & (F.col("upto") - F.col("n") <= index)).select(*keys, "p", "value")
+
+
+#: Buckets of equal width in which real values are ordered.
+REAL_BUCKETS = 4_096
+
+
+def percentiles(df: DataFrame, value: str | Column, probabilities: Sequence[float] = PROBABILITIES) -> DataFrame:
+    """(p, value): percentiles with linear interpolation between order statistics.
+
+    Rows are counted by value and by buckets of equal width; only those buckets that
+    hold a wanted rank are ordered."""
+    value = (F.col(value) if isinstance(value, str) else value).cast("double")
+    counts = df.groupBy(value.alias("value")).agg(F.count(F.lit(1)).alias("n")).where("value IS NOT NULL")
+    span = counts.agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    # rounded subtraction and multiplication keep the order
+    share = F.coalesce(F.try_divide(F.lit(float(REAL_BUCKETS)), F.col("high") - F.col("low")), F.lit(0.0))
+    placed = counts.crossJoin(F.broadcast(span)).withColumn("bucket", F.floor((F.col("value") - F.col("low")) * share))
+    sums = placed.groupBy("bucket").agg(F.sum("n").alias("sum"))
+    sums = sums.withColumns({"below": F.sum("sum").over(Window.orderBy("bucket")) - F.col("sum"), "total": F.sum("sum").over(Window.partitionBy())})
+    ranks = sums.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])))
+    ranks = ranks.withColumn("at", F.col("p") * (F.col("total") - 1)).withColumn("rank", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at")))))
+    ranks = ranks.where((F.col("rank") >= F.col("below")) & (F.col("rank") < F.col("below") + F.col("sum"))).select("bucket", "below", "p", "at", "rank")
+    upto = F.col("below") + F.sum("n").over(Window.partitionBy("bucket", "p", "rank").orderBy("value"))
+    found = placed.select("value", "n", "bucket").join(ranks, "bucket").withColumn("upto", upto)
+    found = found.where((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("n") <= F.col("rank")))
+    low, high, part = F.min("value"), F.max("value"), F.first("at") - F.floor(F.first("at"))
+    return found.groupBy("p").agg((low + (high - low) * part).alias("value"))
 
 
 def width_histogram(dist: DataFrame, *keys: str) -> DataFrame:
@@ -91,7 +146,7 @@ def moments(dist: DataFrame, *keys: str) -> DataFrame:
     """count, mean, sd, skewness and excess kurtosis, all of the population."""
     value, n = F.col("value").cast("double"), F.col("n")
     mean = dist.groupBy(*keys).agg(F.sum("n").alias("count"), (F.sum(value * n) / F.sum("n")).alias("mean"))
-    both = dist.join(F.broadcast(mean), list(keys)) if keys else dist.crossJoin(F.broadcast(mean))
+    both = dist.join(mean, list(keys)) if keys else dist.crossJoin(F.broadcast(mean))
     central = lambda k: F.sum(n * F.pow(value - F.col("mean"), k)) / F.first("count")
     powers = both.groupBy(*keys, "count", "mean").agg(*[central(k).alias(f"m{k}") for k in (2, 3, 4)])
     return powers.select(

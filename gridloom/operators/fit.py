@@ -12,11 +12,13 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
+from .dist import moments, ranked
+
 
 @pandas_udf(DoubleType())
 def normal_cdf(z: pd.Series) -> pd.Series:
@@ -25,14 +27,12 @@ def normal_cdf(z: pd.Series) -> pd.Series:
 
 
 def _distance(dist: DataFrame, lower: Column, upper: Column, before_gap: Column, first_lower: Column) -> DataFrame:
-    """KS and total variation of ``dist`` (value, n) against a fitted law.
+    """KS and total variation of ``dist`` (value, n, upto, total) against a fitted law.
 
     ``lower`` and ``upper`` are standardised bin edges; ``before_gap`` is the
     upper edge of the value before, where the stretch without data begins.
     """
-    order = Window.orderBy("value")
-    total = F.sum("n").over(Window.partitionBy())
-    df = dist.withColumns({"p": F.col("n") / total, "upto": F.sum("n").over(order) / total})
+    df = dist.withColumns({"p": F.col("n") / F.col("total"), "upto": F.col("upto") / F.col("total")})
     df = df.withColumns({"zl": lower, "zu": upper, "zg": before_gap})
     df = df.withColumns({"fl": normal_cdf("zl"), "fu": normal_cdf("zu"), "fg": normal_cdf("zg")})
     from_ = F.col("upto") - F.col("p")
@@ -45,13 +45,11 @@ def _distance(dist: DataFrame, lower: Column, upper: Column, before_gap: Column,
 
 def normal_fit(dist: DataFrame) -> DataFrame:
     """(mean, sd, ks, total_variation) against a normal law on bins of +-0.5."""
-    from .dist import moments
-
     spread = moments(dist).select("mean", "sd")
-    df = dist.crossJoin(F.broadcast(spread))
+    df = ranked(dist).crossJoin(F.broadcast(spread))
     z = lambda x: (x - F.col("mean")) / F.col("sd")
     value = F.col("value")
-    before = F.coalesce(F.lag("value").over(Window.orderBy("value")) + 0.5, value - 0.5)
+    before = F.coalesce(F.col("before") + 0.5, value - 0.5)
     out = _distance(df, z(value - 0.5), z(value + 0.5), z(before), F.col("fl"))
     return spread.crossJoin(F.broadcast(out))
 
@@ -63,11 +61,11 @@ def lognormal_fit(dist: DataFrame) -> DataFrame:
     mean = sizes.agg((F.sum(n * log) / F.sum(n)).alias("log_mean"))
     both = sizes.crossJoin(F.broadcast(mean))
     spread = both.groupBy("log_mean").agg(F.sqrt(F.sum(n * F.pow(log - F.col("log_mean"), 2)) / F.sum(n)).alias("log_sd"))
-    df = sizes.crossJoin(F.broadcast(spread))
+    df = ranked(sizes).crossJoin(F.broadcast(spread))
     z = lambda x: (F.log(x) - F.col("log_mean")) / F.col("log_sd")
     value = F.col("value").cast("double")
     # the dense range starts at magnitude 1, whose lower edge is 0.5
-    before = F.coalesce(F.lag("value").over(Window.orderBy("value")) + 0.5, F.lit(0.5))
+    before = F.coalesce(F.col("before") + 0.5, F.lit(0.5))
     start = normal_cdf(z(F.lit(0.5)))
     out = _distance(df.withColumn("f0", start), z(value - 0.5), z(value + 0.5), z(before), F.col("f0"))
     return spread.crossJoin(F.broadcast(out))

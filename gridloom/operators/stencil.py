@@ -53,19 +53,27 @@ def face_crosses(face: str, value: str = "v", boundary: float = BOUNDARY) -> Col
     return (F.least(*corners) < boundary) & (F.greatest(*corners) >= boundary)
 
 
-def crossing_masks(value: str = "v", boundary: float = BOUNDARY) -> dict[str, Column]:
-    """The seven overlapping crossing categories of a stencil."""
-    before, now = face_crosses("p", value, boundary), face_crosses("c", value, boundary)
-    either, anywhere = before | now, face_crosses("pc", value, boundary)
-    return {
-        "neither_face": ~before & ~now,
-        "previous_only": before & ~now,
-        "current_only": ~before & now,
-        "both_faces": before & now,
-        "any_face": either,
-        "eight_point": anywhere,
-        "temporal_only": anywhere & ~either,
-    }
+#: The category labels of results, each with the states that it counts.
+CATEGORIES = {
+    "neither_spatial_face_crosses": (0, 4),
+    "previous_face_only": (5,),
+    "current_face_only": (6,),
+    "both_spatial_faces_cross": (7,),
+    "any_spatial_face_crosses": (5, 6, 7),
+    "eight_point_crosses": (4, 5, 6, 7),
+    "temporal_only_crosses": (4,),
+}
+
+
+def crossing_state(value: str = "v", boundary: float = BOUNDARY) -> Column:
+    """How a stencil crosses the boundary: 1 if the face of the frame before does, plus 2
+    if its own frame's face does, plus 4 if the cube does, as it must where a face does."""
+    flags = [face_crosses(face, value, boundary).cast("int") * weight for face, weight in (("p", 1), ("c", 2), ("pc", 4))]
+    return flags[0] + flags[1] + flags[2]
+
+
+def in_category(state: Column, category: str) -> Column:
+    return state.isin(*CATEGORIES[category])
 
 
 def side_class(value: str = "v", boundary: float = BOUNDARY) -> Column:
@@ -79,11 +87,12 @@ def threshold_class(value: Column, boundary: float = BOUNDARY) -> Column:
 
 
 def category_counts(df: DataFrame, bad: Column, boundary: float = BOUNDARY) -> DataFrame:
-    """(category, n, bad, rate): all seven categories in one aggregation."""
-    masks = crossing_masks(boundary=boundary)
-    one = df.withColumns({"__bad": bad, **masks}).agg(*[F.struct(F.count_if(F.col(k)).alias("n"), F.count_if(F.col(k) & F.col("__bad")).alias("bad")).alias(k) for k in masks])
-    rows = one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("category"), F.col(f"{k}.n").alias("n"), F.col(f"{k}.bad").alias("bad")) for k in masks])).alias("r")).select("r.*")
-    return rows.withColumn("rate", F.coalesce(F.try_divide(F.col("bad"), F.col("n")), F.lit(0.0)))
+    """(category, n, bad, rate): stencils are counted once by state; categories overlap."""
+    states = df.groupBy(crossing_state(boundary=boundary).alias("state")).agg(F.count(F.lit(1)).alias("n"), F.count_if(bad).alias("bad"))
+    all_ = states.groupBy().pivot("state", list(range(8))).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    total = lambda of, name: sum((F.coalesce(f"{s}_{of}", F.lit(0)) for s in CATEGORIES[name]), F.lit(0).cast("long"))
+    rows = F.inline(F.array(*[F.struct(F.lit(k).alias("category"), total("n", k).alias("n"), total("bad", k).alias("bad")) for k in CATEGORIES]))
+    return all_.select(rows).withColumn("rate", F.coalesce(F.try_divide(F.col("bad"), F.col("n")), F.lit(0.0)))
 
 
 def tails(cells: DataFrame, boundary: float = BOUNDARY) -> DataFrame:

@@ -82,13 +82,13 @@ def _corner_columns() -> str:
 _ALL = ", ".join(_CORNERS)
 _P, _C = ", ".join(_CORNERS[:4]), ", ".join(_CORNERS[4:])
 _MASKS = {
-    "neither_face": "NOT p AND NOT c",
-    "previous_only": "p AND NOT c",
-    "current_only": "NOT p AND c",
-    "both_faces": "p AND c",
-    "any_face": "p OR c",
-    "eight_point": "e",
-    "temporal_only": "e AND NOT (p OR c)",
+    "neither_spatial_face_crosses": "NOT p AND NOT c",
+    "previous_face_only": "p AND NOT c",
+    "current_face_only": "NOT p AND c",
+    "both_spatial_faces_cross": "p AND c",
+    "any_spatial_face_crosses": "p OR c",
+    "eight_point_crosses": "e",
+    "temporal_only_crosses": "e AND NOT (p OR c)",
 }
 _STENCIL = _with(
     _GRID,
@@ -208,7 +208,7 @@ ORACLE: dict[str, str] = {
     "quantize8": _with(_GRID, _RANGE, _Q8) + "SELECT t, y, x, q FROM quant",
     "error_metrics": _with(_GRID, _RANGE, _Q8, "err AS (SELECT ((q::FLOAT * ((high - low)::FLOAT / 255::FLOAT)::FLOAT)::FLOAT + low)::FLOAT::DOUBLE - v::DOUBLE AS e, high::DOUBLE - low::DOUBLE AS span FROM quant)") + "SELECT round(avg(abs(e)), 7) AS mae, round(sqrt(avg(e * e)), 7) AS rmse, round(max(abs(e)), 7) AS max_error, round(20 * log10(any_value(span) / sqrt(avg(e * e))), 7) AS psnr FROM err",
     "chunk_boundary_fraction": "SELECT a || ',' || b || ',' || c AS chunk, round(100 * (1 - (a - 1) * (b - 1) * (c - 1) / (a * b * c)::DOUBLE), 9) AS percent FROM (VALUES (24, 128, 256), (48, 128, 256), (96, 128, 256), (24, 4, 5)) v(a, b, c)",
-    "block_encode_verify": "SELECT mode, 16::BIGINT AS blocks, 26560::BIGINT AS raw_bytes, 0::BIGINT AS mismatches FROM (SELECT unnest(['raw_bitshuffle', 'delta_noshuffle', 'delta_bitshuffle', 'delta_zigzag_noshuffle', 'delta_zigzag_bitshuffle', 'delta_zigzag_reorder_bitshuffle']) AS mode)",
+    "block_encode_verify": "SELECT mode, 16::BIGINT AS blocks, 26560::BIGINT AS raw_bytes, 0::BIGINT AS mismatches FROM (SELECT unnest(['planes', 'delta', 'delta+planes', 'delta+zigzag', 'delta+zigzag+planes', 'delta+zigzag+reorder', 'delta+zigzag+reorder+planes']) AS mode)",
     "block_roundtrip": _BASE + "SELECT t, y, x, v::DOUBLE AS v FROM grid",
     "plane_zstd_roundtrip": _with(_GRID, _PLACED) + _PACKED,
     "whiten_delta_hist": _with(_GRID, _noise(7), _delta("z", "noisy")) + _FINAL,

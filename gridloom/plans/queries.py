@@ -237,10 +237,9 @@ def dist_quantiles(spark, sf_dir):
 @query
 def interp_percentiles(spark, sf_dir):
     cells = _geometry(spark, sf_dir).where(_BAD)
-    ps = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
-    found = cells.agg(F.percentile("nearest", ps).alias("nearest"), F.percentile(F.col("high") - F.col("low"), ps).alias("span"))
-    rows = F.posexplode(F.arrays_zip("nearest", "span")).alias("i", "r")
-    return found.select(rows).select("i", F.round("r.nearest", 8).alias("nearest"), F.round("r.span", 8).alias("span"))
+    near, span = (dist.percentiles(cells, c).withColumnRenamed("value", n) for n, c in (("nearest", F.col("nearest")), ("span", F.col("high") - F.col("low"))))
+    place = F.array_position(F.array(*[F.lit(p) for p in dist.PROBABILITIES]), F.col("p")).cast("int") - 1
+    return near.join(span, "p").select(place.alias("i"), F.round("nearest", 8).alias("nearest"), F.round("span", 8).alias("span"))
 
 
 @query
@@ -380,7 +379,7 @@ def non64_by_time(spark, sf_dir):
 
 
 def _non64_by(axis, spark, sf_dir):
-    crosses = stencil.crossing_masks()["any_face"]
+    crosses = stencil.in_category(stencil.crossing_state(), "any_spatial_face_crosses")
     return _geometry(spark, sf_dir).groupBy(axis).agg(F.count_if(F.expr(_BAD)).alias("bad"), F.count_if(crosses).alias("crossing"))
 
 
@@ -473,14 +472,14 @@ def block_encode_verify(spark, sf_dir):
 
 @query
 def block_roundtrip(spark, sf_dir):
-    mode = blocks.MODES["delta_zigzag_reorder_bitshuffle"]
+    mode = blocks.MODES["delta+zigzag+reorder+planes"]
     again = blocks.from_blocks(blocks.decode_blocks(blocks.encode_blocks(_blocks(spark, sf_dir), mode, "zstd_5"), mode, "zstd_5"), CHUNK)
     return again.select("t", "y", "x", F.col("v").cast("double").alias("v"))
 
 
 @query
 def codec_sizes(spark, sf_dir):
-    return blocks.codec_records(_blocks(spark, sf_dir), ["delta_zigzag_noshuffle"], ["none", "zstd_1", "zstd_5", "zstd_19", "zlib_6", "gzip_6", "bzip2_6", "lzma", "lz4", "zstd_5_shuffle", "lz4_bitshuffle"])
+    return blocks.codec_records(_blocks(spark, sf_dir), ["delta+zigzag"], ["none", "zstd_1", "zstd_5", "zstd_19", "zlib_6", "gzip_6", "bzip2_6", "lzma", "lz4", "zstd_5_shuffle", "lz4_bitshuffle"])
 
 
 @query
