@@ -15,7 +15,7 @@ from collections.abc import Callable, Sequence
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .delta import CHUNK, with_chunk
@@ -233,6 +233,25 @@ def decode_blocks(stored: DataFrame, mode: Sequence[str], codec: str) -> DataFra
     return stored.mapInArrow(run, BLOCK)
 
 
+def write_blocks(blocks: DataFrame, path: str, mode: str, codec: str, save: str = "error") -> None:
+    """A table of encoded blocks that says how to decode them: mode and codec are columns."""
+    coded = encode_blocks(blocks, MODES[mode], codec)
+    coded.withColumns({"mode": F.lit(mode), "codec": F.lit(codec)}).write.mode(save).parquet(path)
+
+
+def read_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """The blocks of a table that ``write_blocks`` wrote, each decoded by its own attributes."""
+    known = {name: decode for name, (_, decode) in CODECS.items()}
+
+    def run(batches):
+        for batch in batches:
+            out = [decode_words(known[r["codec"]](r["data"]), (r["nt"], r["ny"], r["nx"]), MODES[r["mode"]]).tobytes() for r in batch.to_pylist()]
+            names = [n for n in batch.schema.names if n not in ("mode", "codec")]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()) if n == "data" else batch.column(n) for n in names], names=names)
+
+    return spark.read.parquet(path).select("ct", "cy", "cx", "nt", "ny", "nx", "data", "mode", "codec").mapInArrow(run, BLOCK)
+
+
 def codec_records(blocks: DataFrame, modes: Sequence[str] = tuple(MODES), codecs: Sequence[str] = ("zstd_5",)) -> DataFrame:
     """(mode, codec, blocks, raw_bytes, size_bytes, bits_per_value, ratio, mismatches).
 

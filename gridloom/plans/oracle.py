@@ -231,4 +231,17 @@ ORACLE: dict[str, str] = {
     "size_records": _HIST + f"SELECT n, size, {_sig('size * 8 / n')} AS bits_per_value, {_sig('4 * n / size')} AS ratio, {_sig('size / 1048576.0::DOUBLE / 2')} AS mib_per_second, printf('%.2f KiB', size / 1024.0::DOUBLE) AS shown FROM (SELECT sum(n)::BIGINT AS n, ceil(sum(n * {_WIDTH}) / 8)::BIGINT AS size FROM hist)",
     "description_json": _BASE + """SELECT t, '{"block":' || (t // 6) || ',"cells":' || count(*) || ',"reference":' || min(r) || '}' AS text FROM grid GROUP BY t""",
     "windowed_event_counts": f"SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, {_sig('sum(value)')} AS total FROM events GROUP BY ALL",
+    "grib_metadata": _BASE + "SELECT t::INT AS t, 1::BIGINT AS message, 1::BIGINT AS edition, 10::BIGINT AS ni, 8::BIGINT AS nj, 90.0::DOUBLE AS first_lat, true AS simple, 16::BIGINT AS bits, -9::BIGINT AS binary_scale, (min(r) / 65536.0)::DOUBLE AS reference, TIMESTAMP '2026-05-01' + to_hours(t::INT) AS time FROM grid GROUP BY t",
+    "grib_metadata_counts": _BASE + "SELECT 1::BIGINT AS edition, 10::BIGINT AS ni, 8::BIGINT AS nj, 16::BIGINT AS bits, count(DISTINCT t) AS n, count(DISTINCT t) AS times, TIMESTAMP '2026-05-01' + to_hours(min(t)::INT) AS first, TIMESTAMP '2026-05-01' + to_hours(max(t)::INT) AS last FROM grid",
+    "quantiles9": _HIST + "SELECT p, min(value) AS value FROM (SELECT *, sum(n) OVER (ORDER BY value) AS upto, sum(n) OVER () AS total FROM hist), (SELECT unnest([0.0, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0])::DOUBLE AS p) WHERE upto > round_even(p * (total - 1)::DOUBLE, 0) GROUP BY ALL",
+    "top_time_pairs": _STENCIL + "SELECT t, count(*) FILTER (residue <> 0) AS bad, count(*) FILTER (p OR c) AS crossing FROM st GROUP BY t ORDER BY bad DESC, t LIMIT 20",
+    "histogram_file": _HIST + "SELECT value, n FROM hist",
+    "histogram_file_multiples": _HIST + "SELECT value // 64 AS value, n FROM hist WHERE value % 64 = 0",
+    "summary_file": _REGIONAL + f"SELECT region, count, unique_count, min, max, zero_count, mean, entropy FROM ({_SUMMARY})",
+    "block_table_roundtrip": _BASE + "SELECT t, y, x, v::DOUBLE AS v, v::DOUBLE AS same, CASE WHEN t < 24 THEN 2 ELSE 1 END::BIGINT AS copies FROM grid",
+    "tiff_byte_counts": "SELECT printf('%04d.tiff', t) AS path, 0::INT AS ifd, 1::BIGINT AS pieces, true AS filled, true AS adds_up FROM (SELECT unnest(range(83)) AS t)",
+    "tiff_frames_coerced": _BASE + "SELECT t, count(*) AS cells, min(v)::DOUBLE AS low, max(v)::DOUBLE AS high FROM grid GROUP BY t",
+    "whiten_reverify": "(" + ") UNION ALL (".join(_with(_GRID, _noise(k)) + f"SELECT {k} AS bits, count(*) AS n, sum(z % {1 << k})::BIGINT AS noise, 0::BIGINT AS mismatches FROM noisy" for k in (7, 8)) + ")",
+    "variant_frame_gaps": _BASE + "SELECT unnest(['original', 'noise7', 'noise8']) AS variant, unnest([count(DISTINCT t), count(DISTINCT t), count(DISTINCT t) FILTER (t % 10 <> 9)])::BIGINT AS frames, false AS agrees FROM grid",
+    "streamed_delta_t": _with(_GRID, f"l AS ({_lag('w', 'y', 'x', order='t', source='grid')})") + "SELECT t, y, x, w - b AS d FROM l WHERE t > 0",
 }

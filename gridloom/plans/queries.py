@@ -595,9 +595,8 @@ def tiff_tag_table(spark, sf_dir):
     return tiff.tiff_tags(files).where("name IN ('ImageWidth', 'ImageLength', 'BitsPerSample', 'SampleFormat', 'TileWidth')").groupBy("tag", "name", "type", "count", F.col("value")[0].alias("value")).agg(F.count(F.lit(1)).alias("files"))
 
 
-@query
-def grib_roundtrip(spark, sf_dir):
-    """Every frame as a packed message, and its integers read back."""
+def _messages(spark, sf_dir):
+    """Every frame as a packed message, in a file of its own."""
 
     def run(table: pa.Table) -> pa.Table:
         x = np.empty((grids.ROWS, grids.COLUMNS), np.int64)
@@ -607,12 +606,28 @@ def grib_roundtrip(spark, sf_dir):
         return pa.table({"path": pa.array([f"{t:04d}"]), "content": pa.array([message], pa.binary())})
 
     files = _smooth(spark, sf_dir).select("t", "y", "x", "packed", "r").groupBy("t").applyInArrow(run, "path string, content binary")
-    read = grib.read_messages(files)
+    return grib.read_messages(files)
+
+
+@query
+def grib_roundtrip(spark, sf_dir):
+    """The integers of every frame, read back from its message."""
     # one message a file here, so the file's name is the frame
-    cells = grib.unpack_messages(read.withColumn("message", F.col("path").cast("long")))
+    cells = grib.unpack_messages(_messages(spark, sf_dir).withColumn("message", F.col("path").cast("long")))
     return cells.select(F.col("message").cast("int").alias("t"), "y", "x", F.col("packed"))
 
 
+@query
+def grib_metadata(spark, sf_dir):
+    read = _messages(spark, sf_dir)
+    return read.select(F.col("path").cast("int").alias("t"), "message", "edition", "ni", "nj", "first_lat", "simple", "bits", "binary_scale", "reference", grib.data_time(F.col("data_date"), F.col("data_time")).alias("time"))
+
+
+@query
+def grib_metadata_counts(spark, sf_dir):
+    return grib.metadata_counts(_messages(spark, sf_dir)).select("edition", "ni", "nj", "bits", "n", "times", "first", "last")
+
+
 @query
 def grid_coordinates(spark, sf_dir):
     lat, lon = tables.coordinates(spark, grids.ROWS, grids.COLUMNS)
@@ -649,3 +664,102 @@ def windowed_event_counts(spark, sf_dir):
 
     out = windowed_counts(spark.read.parquet(f"{sf_dir}/events.parquet"), window="1 day")
     return out.select("start", "event_type", "n", sig9(F.col("total")).alias("total"))
+
+
+@query
+def quantiles9(spark, sf_dir):
+    return dist.quantiles(_interior(spark, sf_dir), probabilities=(0.0, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0))
+
+
+@query
+def top_time_pairs(spark, sf_dir):
+    return non64_by_time(spark, sf_dir).orderBy(F.desc("bad"), "t").limit(20)
+
+
+@query
+def histogram_file(spark, sf_dir):
+    """The distribution of interior differences, written as a histogram file and read back."""
+    path = tables.scratch_path(spark, "histogram")
+    tables.write_histogram(_interior(spark, sf_dir), path)
+    return tables.read_histogram(spark, path)
+
+
+@query
+def histogram_file_multiples(spark, sf_dir):
+    path = tables.scratch_path(spark, "histogram")
+    tables.write_histogram(_interior(spark, sf_dir), path)
+    return tables.read_histogram(spark, path, multiple_of=64)
+
+
+@query
+def summary_file(spark, sf_dir):
+    """Summaries of all regions, written as JSON and read back."""
+    path = tables.scratch_path(spark, "summary")
+    tables.write_summary(dist.summary(_regional(spark, sf_dir), "region"), path)
+    read = tables.read_summary(spark, path)
+    return read.select("region", *[F.col(c).cast("long").alias(c) for c in ("count", "unique_count", "min", "max", "zero_count")], sig9(F.col("mean")).alias("mean"), sig9(F.col("entropy")).alias("entropy"))
+
+
+@query
+def block_table_roundtrip(spark, sf_dir):
+    """Encoded blocks as a table that carries their transform, and their cells read back."""
+    path = tables.scratch_path(spark, "blocks")
+    blocks.write_blocks(_blocks(spark, sf_dir), path, "delta+zigzag+planes", "zstd_5")
+    blocks.write_blocks(_blocks(spark, sf_dir).where("ct = 0"), path, "planes", "lz4", "append")
+    cells = blocks.from_blocks(blocks.read_blocks(spark, path), CHUNK)
+    return cells.groupBy("t", "y", "x").agg(F.max("v").cast("double").alias("v"), F.min("v").cast("double").alias("same"), F.count(F.lit(1)).alias("copies"))
+
+
+@query
+def tiff_byte_counts(spark, sf_dir):
+    files = tiff.frames_as_tiff(_smooth(spark, sf_dir), tile=16).select(F.format_string("%04d.tiff", "t").alias("path"), "content")
+    counts = tiff.byte_counts(tiff.tiff_tags(files))
+    return counts.select("path", "ifd", "pieces", (F.col("min") > 0).alias("filled"), (F.col("total").between(F.col("min") * F.col("pieces"), F.col("max") * F.col("pieces"))).alias("adds_up"))
+
+
+@query
+def tiff_frames_coerced(spark, sf_dir):
+    """Frames read without asking for float32, but refusing what is not finite."""
+    files = tiff.frames_as_tiff(_smooth(spark, sf_dir), tile=16).select("t", F.format_string("%04d.tiff", "t").alias("path"), "content")
+    cells = tiff.read_grid(files, strict=False, finite=True)
+    return cells.groupBy("t").agg(F.count(F.lit(1)).alias("cells"), F.min("v").cast("double").alias("low"), F.max("v").cast("double").alias("high"))
+
+
+@query
+def whiten_reverify(spark, sf_dir):
+    """Whitened frames read back from files, against noise that is made again for each cell."""
+    out = None
+    for k in (7, 8):
+        noisy = _whitened(spark, sf_dir, k).select("t", "y", "x", bits.bits_float(F.col("noisy")).alias("v"))
+        files = tiff.frames_as_tiff(noisy, tile=16).select("t", F.format_string("%04d.tiff", "t").alias("path"), "content")
+        again = delta.words(tiff.read_grid(files))
+        both = again.join(_words(spark, sf_dir).withColumnRenamed("w", "source"), ["t", "y", "x"])
+        want = bits.whiten(F.col("source"), F.col("t"), F.col("y"), F.col("x"), k, SEED)
+        row = both.agg(F.lit(k).alias("bits"), F.count(F.lit(1)).alias("n"), F.sum(F.pmod("w", F.lit(1 << k))).alias("noise"), F.count_if(F.col("w") != want).alias("mismatches"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query
+def variant_frame_gaps(spark, sf_dir):
+    """Frames of variants that are tables of their own, one of which lacks some frames."""
+    own = [_whitened(spark, sf_dir, k).where(kept).select("t", F.lit(name).alias("variant")) for name, k, kept in (("original", 0, "true"), ("noise7", 7, "true"), ("noise8", 8, "t % 10 <> 9"))]
+    return records.agreeing_counts(own[0].unionByName(own[1]).unionByName(own[2]))
+
+
+@query
+def streamed_delta_t(spark, sf_dir):
+    """Differences to the frame before, from a stream of cells that is read to its end."""
+    from ..streaming.frames import streaming_delta_t
+
+    source, out = tables.scratch_path(spark, "frames"), tables.scratch_path(spark, "streamed")
+    words = _words(spark, sf_dir)
+    words.write.parquet(source)
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = streaming_delta_t(spark.readStream.schema(words.schema).parquet(source))
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", tables.scratch_path(spark, "state")).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return spark.read.parquet(out).where("t > 0").select("t", "y", "x", "d")

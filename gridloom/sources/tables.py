@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder of ``spark.checkpoint.dir``; in local mode without
+    that setting, in a temp folder."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="spark-")
+    return f"{folder.rstrip('/')}/gridloom-{uuid.uuid4().hex}-{name}"
+
+
 def write_histogram(dist: DataFrame, path: str, mode: str = "error") -> None:
     """One distribution (value, n) as sorted, gzipped CSV parts with a header."""
     dist.select("value", F.col("n").alias("count")).orderBy("value").write.mode(mode).option("header", True).option("compression", "gzip").csv(path)
