@@ -1,55 +1,37 @@
 """Quality rules: n-gram perplexity under a modified Kneser-Ney model.
 
-The model is over characters folded to 64 symbols, four at a time, one for each
-language.  Spark counts the 4-grams of all documents, and groupings of that table
-give every discount, continuation count and back-off weight.  A 4-gram is 24
-bits, so a language has at most 2**24 of them, however large the corpus: that
-bounds the sorted arrays that are broadcast for scoring.
+The model is over the bytes of the texts, five at a time, one for each language, so
+every script is modelled as it is.  Spark counts the 5-grams of all documents, and
+groupings of that table give every discount, continuation count and back-off weight.
+The model grows with the corpus.  For scoring it is cut by the byte before the
+predicted one: such a part holds all that a prediction and its back-off need.  Parts
+are gathered into blocks of bounded size, stored as sorted arrays of gram codes, and
+documents pass the blocks one after another.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textops as tx
 from .common import small, stored
 
-ORDER = 4
-SYMBOL_BITS = 6
+ORDER = 5
+SYMBOL_BITS = 8
 SYMBOLS = 1 << SYMBOL_BITS
-#: Model entries broadcast at once (12 bytes each); more languages than fit are
-#: scored in several passes, each over the documents of its languages.
-MODEL_ENTRIES = 20_000_000
-#: Perplexity bands: medians of a language's log-perplexity, plus and minus so
-#: many median absolute deviations, and at least so many nats.
-BAND_MADS, BAND_NATS = 10.0, 1.0
+#: Model entries broadcast at once (12 bytes each); a larger model takes several passes.
+BLOCK_ENTRIES = 4_000_000
+#: Perplexity bands: medians of a language's log-perplexity, minus and plus so many median
+#: absolute deviations of the documents on that side, and at least so many nats.
+BAND_MADS, BAND_NATS = (10.0, 10.0), (0.5, 1.0)
 #: Resolution of the distributions that give the bands, in nats.
 BIN = 0.01
 
-
-def _fold() -> np.ndarray:
-    """Byte -> symbol: letters, case, digits, punctuation, symbol characters, UTF-8 parts."""
-    table = np.full(256, 50, np.uint8)
-    table[:32] = 51
-    table[0x20] = table[0x09] = 0
-    table[0x0A] = 1
-    for i in range(26):
-        table[0x61 + i], table[0x41 + i] = 2 + i, 28 + i % 8
-    table[0x30:0x3A] = 36
-    for symbol, characters in ((37, b"."), (38, b","), (39, b"-'"), (40, b"!?;:"), (49, b"()[]{}\"")):
-        table[list(characters)] = symbol
-    for i, character in enumerate(b"#*$%&|<>"):
-        table[character] = 41 + i
-    table[0x80:0xC0] = 54 + np.arange(64) % 10
-    table[0xC0:0xE0], table[0xE0:] = 52, 53
-    return table
-
-
-FOLD = _fold()
 _SYMBOL_CHARACTER = np.zeros(256, bool)
 _SYMBOL_CHARACTER[list(b"#*$%&|<>")] = True
 _LEXICAL = tx.LOWER_ALNUM[tx.LOWER]
@@ -58,16 +40,16 @@ _NOT_NEWLINE[0x0A] = False
 
 
 def gram_codes(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """For each byte the code of the 4-gram that ends there; texts start after three line ends."""
-    symbol = FOLD[raw].astype(np.int64)
+    """For each byte the code of the 5-gram that ends there; texts start after line ends."""
+    symbol = raw.astype(np.int64)
     code = symbol.copy()
     first = offsets[:-1][np.diff(offsets) > 0]
     for back in range(1, ORDER):
-        before = np.ones(len(symbol), np.int64)
+        before = np.full(len(symbol), 0x0A, np.int64)
         before[back:] = symbol[:-back] if len(symbol) > back else symbol[:0]
         for k in range(back):  # the bytes nearer to a text's start than ``back``
             at = first + k
-            before[at[at < len(raw)]] = 1
+            before[at[at < len(raw)]] = 0x0A
         code |= before << (SYMBOL_BITS * back)
     return code
 
@@ -115,8 +97,8 @@ def count_grams(docs: DataFrame) -> DataFrame:
 
 
 def kneser_ney(counts: DataFrame) -> DataFrame:
-    """(lang, kind, gram, value): log-probabilities ``p<o>`` of all seen o-grams and
-    log back-off weights ``b<o>`` of their contexts, for the orders 1 to 4."""
+    """(lang, kind, gram, value): log-probabilities of all seen o-grams, kind 2 o, and log
+    back-off weights of their contexts, kind 2 o + 1, for the orders o from 1 to 5."""
     grams = {ORDER: counts}
     for order in range(ORDER - 1, 0, -1):  # continuation counts: how many symbols come before
         tail = F.col("gram").bitwiseAND(F.lit((1 << order * SYMBOL_BITS) - 1))
@@ -135,7 +117,7 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
         contexts = g.groupBy("lang", "context").agg(
             F.sum("n").alias("total"), F.count_if(F.col("n") == 1).alias("c1"), F.count_if(F.col("n") == 2).alias("c2"), F.count_if(F.col("n") >= 3).alias("c3")
         )
-        contexts = contexts.join(F.broadcast(spread), "lang") if order == 1 else contexts.join(small(spread), "lang")
+        contexts = contexts.join(small(spread), "lang")
         left = (F.col("d1") * F.col("c1") + F.col("d2") * F.col("c2") + F.col("d3") * F.col("c3")) / F.col("total")
         contexts = contexts.withColumn("left", left)
         own = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
@@ -148,43 +130,53 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
         p = F.greatest(F.lit(0.0), F.col("n") - own) / F.col("total") + F.col("left") * F.col("lower")
         scored = scored.select("lang", "gram", p.alias("p"))
         below = scored.select("lang", F.col("gram").alias("tail"), F.col("p").alias("lower"))
-        rows = scored.select("lang", F.lit(f"p{order}").alias("kind"), "gram", F.log("p").cast("float").alias("value")).unionByName(
-            contexts.select("lang", F.lit(f"b{order}").alias("kind"), F.col("context").alias("gram"), F.log("left").cast("float").alias("value"))
+        rows = scored.select("lang", F.lit(2 * order).alias("kind"), "gram", F.log("p").cast("float").alias("value")).unionByName(
+            contexts.select("lang", F.lit(2 * order + 1).alias("kind"), F.col("context").alias("gram"), F.log("left").cast("float").alias("value"))
         )
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
+def prior(kind: F.Column, gram: F.Column) -> F.Column:
+    """The byte before the predicted one, by which the model is cut: that of an o-gram, or
+    a context's last.  Unigrams and the empty context have none: they belong to every part."""
+    last = gram.bitwiseAND(F.lit(SYMBOLS - 1))
+    own = F.when(F.pmod(kind, F.lit(2)) == 1, last).otherwise(F.shiftright(gram, SYMBOL_BITS).bitwiseAND(F.lit(SYMBOLS - 1)))
+    return F.when(kind >= 4, own).otherwise(F.lit(-1)).cast("int")
+
+
+@dataclass
 class Model:
-    """One language's sorted arrays: codes and values of each kind."""
-
-    def __init__(self, table: pa.Table):
-        self.of = {}
-        for kind in {*table.column("kind").to_pylist()} if table.num_rows else ():
-            rows = table.filter(pc.equal(table.column("kind"), kind))
-            code, value = np.asarray(rows.column("gram")).astype(np.int32), np.asarray(rows.column("value"))
-            order = np.argsort(code)
-            self.of[kind] = (code[order], value[order])
-
-    def _find(self, kind: str, codes: np.ndarray, otherwise: float) -> tuple[np.ndarray, np.ndarray]:
-        if kind not in self.of:
-            return np.zeros(len(codes), bool), np.full(len(codes), otherwise, np.float32)
+    """A block of one language: for each kind sorted codes and their values."""
+
+    of: dict[int, tuple[np.ndarray, np.ndarray]]
+
+    @classmethod
+    def build(cls, kind: np.ndarray, gram: np.ndarray, value: np.ndarray) -> Model:
+        order = np.lexsort((gram, kind))
+        kind, gram, value = kind[order], gram[order], value[order]
+        cuts = np.searchsorted(kind, np.arange(2, 2 * ORDER + 3))
+        return cls({k: (gram[a:b], value[a:b]) for k, a, b in zip(range(2, 2 * ORDER + 2), cuts[:-1], cuts[1:], strict=True)})
+
+    def _find(self, kind: int, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         keys, values = self.of[kind]
+        if not len(keys):
+            return np.zeros(len(codes), bool), np.zeros(len(codes), np.float32)
         at = np.minimum(np.searchsorted(keys, codes), len(keys) - 1)
         seen = keys[at] == codes
-        return seen, np.where(seen, values[at], np.float32(otherwise))
+        return seen, np.where(seen, values[at], np.float32(0))
 
     def log_p(self, codes: np.ndarray) -> np.ndarray:
-        """Natural log-probability of each code's last symbol after its first three."""
+        """Natural log-probability of each code's last byte after its first four."""
         out, open_, weight = np.zeros(len(codes), np.float32), np.arange(len(codes)), np.zeros(len(codes), np.float32)
         for order in range(ORDER, 0, -1):
-            left = codes[open_] & np.int32((1 << order * SYMBOL_BITS) - 1)
-            seen, value = self._find(f"p{order}", left, 0.0)
+            left = codes[open_] & np.int64((1 << order * SYMBOL_BITS) - 1)
+            seen, value = self._find(2 * order, left)
             out[open_[seen]] = value[seen] + weight[open_[seen]]
             open_ = open_[~seen]
             if not len(open_):
                 return out
-            weight[open_] += self._find(f"b{order}", left[~seen] >> SYMBOL_BITS, 0.0)[1]
+            weight[open_] += self._find(2 * order + 1, left[~seen] >> SYMBOL_BITS)[1]
         out[open_] = weight[open_] - np.log(SYMBOLS)
         return out
 
@@ -224,57 +216,96 @@ def lexical_words(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return tx.row_sums(w.bounds, total[w.end] > total[w.start])
 
 
-def score(docs: DataFrame, model: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, lang, text) -> doc_id, lang, the base counts, log_perplexity (nats a word)."""
-    sizes = {r.lang: r.n for r in model.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    blocks: list[list[str]] = [[]]
-    room = MODEL_ENTRIES
-    for lang, n in sorted(sizes.items()):
-        if blocks[-1] and n > room:
-            blocks.append([])
-            room = MODEL_ENTRIES
-        blocks[-1].append(lang)
-        room -= n
-    out = None
-    for i, langs in enumerate(blocks):
-        mine = docs if len(blocks) == 1 else docs.where(F.col("lang").isin(*langs) if i else F.col("lang").isin(*langs) | ~F.col("lang").isin(*sizes))
-        part = _score_block(mine, model.where(F.col("lang").isin(*langs)) if langs else model)
-        out = part if out is None else out.unionByName(part)
-    return out
+_COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-_COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+def _blocks(model: DataFrame, entries: int) -> list[list[tuple[str, int]]]:
+    """Parts (lang, prior) gathered into blocks of at most ``entries``, or of one larger part.
+    A language has 256 parts, however large the corpus is; its empty ones are in the block
+    of its first."""
+    sizes = model.groupBy("lang", prior(F.col("kind"), F.col("gram")).alias("prior")).agg(F.count(F.lit(1)).alias("n")).orderBy("lang", "prior").collect()
+    out: list[list[tuple[str, int]]] = []
+    room, begun = 0, set()
+    for r in sizes:
+        if r.prior < 0:
+            continue
+        if r.n > room or not out:
+            out.append([])
+            room = entries
+        if r.lang not in begun:
+            begun.add(r.lang)
+            known = {x.prior for x in sizes if x.lang == r.lang}
+            out[-1] += [(r.lang, x) for x in range(SYMBOLS) if x not in known]
+        out[-1].append((r.lang, r.prior))
+        room -= r.n
+    return out
+
 
+def score(docs: DataFrame, model: DataFrame, entries: int = BLOCK_ENTRIES) -> DataFrame:
+    """``docs`` (doc_id, lang, text) -> doc_id, lang, the base counts, log_perplexity (nats a word).
 
-def _score_block(docs: DataFrame, model: DataFrame) -> DataFrame:
-    table = model.toArrow()
-    models = {lang: Model(table.filter(pc.equal(table.column("lang"), lang))) for lang in pc.unique(table.column("lang")).to_pylist()}
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+    A language that the model lacks has no perplexity (null), like a text without words."""
     kept = [f for f in docs.schema if f.name != "text"]
-    kind = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept], *[f"{c} long" for c in _COUNTS], "log_perplexity double"])
+    blocks = _blocks(model, entries) or [[]]
+    # all blocks but the last only add up costs; the last one also counts
+    out = docs.withColumn("__cost", F.lit(0.0))
+    for block in blocks[:-1]:
+        out = _costs(out, model, block)
+    return _costs(out, model, blocks[-1], [f.name for f in kept])
+
+
+def _costs(docs: DataFrame, model: DataFrame, block: list[tuple[str, int]], counted: list[str] | None = None) -> DataFrame:
+    """``docs`` with the costs of a block's predictions added to __cost; with ``counted``,
+    these columns, the base counts and log_perplexity instead."""
+    langs = sorted({lang for lang, _ in block})
+    number = F.array_position(F.array(*[F.lit(x) for x in langs]).cast("array<string>"), F.col("lang")).cast("int") - 1
+    part = prior(F.col("kind"), F.col("gram"))
+    wanted = F.lit(False)
+    for lang in langs:
+        wanted = wanted | ((F.col("lang") == lang) & part.isin(-1, *[p for x, p in block if x == lang]))
+    table = model.where(wanted).select(number.alias("lang"), F.col("kind").cast("byte").alias("kind"), "gram", "value").toArrow()
+    columns = {c: np.asarray(table.column(c)) for c in table.schema.names}
+    models, priors = {}, {}
+    for i, lang in enumerate(langs):
+        mine = columns["lang"] == i
+        models[lang] = Model.build(columns["kind"][mine], columns["gram"][mine], columns["value"][mine])
+        priors[lang] = np.isin(np.arange(SYMBOLS), [p for x, p in block if x == lang])
+    shared = docs.sparkSession.sparkContext.broadcast((models, priors))
+    schema = docs.schema
+    if counted is not None:
+        kinds = {f.name: f.dataType.simpleString() for f in schema}
+        schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in counted], *[f"{c} long" for c in _COUNTS], "log_perplexity double"])
 
     def run(batches):
-        for part in tx.slices(batches):
-            raw, offsets, codes = _codes(part)
-            sums = np.zeros(len(codes) + 1)
-            langs = part.column("lang").to_pylist()
+        models, priors = shared.value
+        for batch in tx.slices(batches):
+            raw, offsets, codes = _codes(batch)
+            costs = np.zeros(len(codes) + 1)
+            langs = batch.column("lang").to_pylist()
             for lang in dict.fromkeys(langs):
-                rows = np.repeat(np.array([x == lang for x in langs]), np.diff(offsets))
-                if lang in shared.value and rows.any():
-                    sums[1:][rows] = shared.value[lang].log_p(codes[rows].astype(np.int32))
-            total = np.cumsum(sums)
+                if lang in models:
+                    mine = np.repeat(np.array([x == lang for x in langs]), np.diff(offsets))
+                    mine &= priors[lang][(codes >> SYMBOL_BITS) & (SYMBOLS - 1)]
+                    costs[1:][mine] = -models[lang].log_p(codes[mine])
+            total = np.cumsum(costs)
+            cost = total[offsets[1:]] - total[offsets[:-1]] + np.asarray(batch.column("__cost"))
+            if counted is None:
+                yield pa.RecordBatch.from_arrays([pa.array(cost) if n == "__cost" else batch.column(n) for n in batch.schema.names], names=batch.schema.names)
+                continue
             n, counts = lexical_words(raw, offsets), base_counts(raw, offsets)
-            mean = -(total[offsets[1:]] - total[offsets[:-1]]) / np.maximum(n, 1)
-            yield pa.RecordBatch.from_arrays(
-                [*[part.column(f.name) for f in kept], *[pa.array(counts[c], pa.int64()) for c in _COUNTS], pa.array(mean, pa.float64(), mask=n == 0)],
-                names=[*[f.name for f in kept], *_COUNTS, "log_perplexity"],
-            )
+            unknown = (n == 0) | np.array([x not in models for x in langs])
+            values = [*[batch.column(c) for c in counted], *[pa.array(counts[c], pa.int64()) for c in _COUNTS], pa.array(cost / np.maximum(n, 1), pa.float64(), mask=unknown & (cost == 0))]
+            yield pa.RecordBatch.from_arrays(values, names=[*counted, *_COUNTS, "log_perplexity"])
+
+    return docs.mapInArrow(run, schema)
 
-    return docs.mapInArrow(run, kind)
 
+def bands(scored: DataFrame, mads: tuple[float, float] = BAND_MADS, nats: tuple[float, float] = BAND_NATS) -> DataFrame:
+    """(lang, low, high) from the whole distribution of each language's log-perplexity.
 
-def bands(scored: DataFrame, mads: float = BAND_MADS, nats: float = BAND_NATS) -> DataFrame:
-    """(lang, low, high) from the whole distribution of each language's log-perplexity."""
+    Each side has a width of its own: the median distance from the median of the
+    documents on that side, those at the median's own bin included, times ``mads``, and
+    ``nats`` at least."""
     bins = scored.where(F.col("log_perplexity").isNotNull()).groupBy("lang", F.floor(F.col("log_perplexity") / BIN).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
     def median(df: DataFrame, value: str) -> DataFrame:
@@ -283,14 +314,15 @@ def bands(scored: DataFrame, mads: float = BAND_MADS, nats: float = BAND_NATS) -
         return df.withColumns({"upto": upto, "total": total}).where(F.col("upto") * 2 >= F.col("total")).groupBy("lang").agg(F.min(value).alias("median"))
 
     centre = median(bins, "bin")
-    apart = bins.join(centre, "lang").groupBy("lang", F.abs(F.col("bin") - F.col("median")).alias("apart")).agg(F.sum("n").alias("n"))
-    width = median(apart, "apart").withColumnRenamed("median", "mad")
-    reach = F.greatest(F.col("mad") * BIN * mads, F.lit(nats))
-    mid = (F.col("median") + 0.5) * BIN
-    return centre.join(width, "lang").select("lang", (mid - reach).alias("low"), (mid + reach).alias("high"))
+    apart = bins.join(centre, "lang").withColumn("apart", F.abs(F.col("bin") - F.col("median")))
+    mid, out = (F.col("median") + 0.5) * BIN, centre
+    for name, sign, side, many, least in (("low", -1, "bin <= median", mads[0], nats[0]), ("high", 1, "bin >= median", mads[1], nats[1])):
+        width = median(apart.where(side), "apart").withColumnRenamed("median", "width")
+        out = out.join(width, "lang").withColumn(name, mid + sign * F.greatest(F.col("width") * BIN * many, F.lit(float(least)))).drop("width")
+    return out.select("lang", "low", "high")
 
 
-def quality_rules(docs: DataFrame, mads: float = BAND_MADS, nats: float = BAND_NATS) -> DataFrame:
+def quality_rules(docs: DataFrame, mads: tuple[float, float] = BAND_MADS, nats: tuple[float, float] = BAND_NATS) -> DataFrame:
     """doc_id, n_words, base counts, base_failed, kept, lang, log_perplexity, low, high.
 
     A document fails the base rules with fewer than 50 words or more than half
@@ -298,7 +330,8 @@ def quality_rules(docs: DataFrame, mads: float = BAND_MADS, nats: float = BAND_N
     language's perplexity band are kept.  The model and the bands come from all
     whole texts of ``docs``.  A null text is empty: it has no words and fails.
     A null language is a language of its own.  Repeated rows count each time and
-    give equal rows.  An empty table stays empty.  Other columns are ignored.
+    give equal rows.  An empty table stays empty.  Other columns are ignored,
+    whatever their names.
     """
     docs = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "text")
     model = stored(kneser_ney(stored(count_grams(docs), "grams")), "model")

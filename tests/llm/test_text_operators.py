@@ -1,9 +1,11 @@
 """Extraction, repeats, quality rules, PII and decontamination against brute force."""
 
+import math
 import re
 
 import pytest
 from fixtures import ALNUM_WORD, DOCUMENT, SPACE_WORD, corpus, lowered, rows_of, sha
+from pyspark.sql import functions as F
 
 from gridloom.llm import decontaminate, html_text, perplexity, repeats, surrogates
 from gridloom.llm.decontaminate import SuffixAutomaton
@@ -185,8 +187,86 @@ def test_perplexity_bands_reject_noise(spark):
     good = [(i, " ".join(word() for _ in range(120)), "en") for i in range(200)]
     noisy = [(1000 + i, " ".join(word() + rng.choice(["***", "%%%", "$$$"]) for _ in range(120)), "en") for i in range(6)]
     flat = [(2000 + i, " ".join("theou" + rng.choice(["x", "q"]) * rng.choice([30, 40]) + word() for _ in range(120)), "en") for i in range(6)]
-    got = {r.doc_id: r.kept for r in perplexity.quality_rules(spark.createDataFrame([*good, *noisy, *flat], "doc_id long, text string, lang string")).collect()}
-    assert sum(got[i] for i, *_ in good) >= 198 and not any(got[i] for i, *_ in noisy + flat)
+    # of few words in ever new orders: no 3-word window is found twice in half the text
+    plain = [(3000 + i, " ".join(rng.choice("a b c d e f g h i j k l".split()) for _ in range(120)), "en") for i in range(6)]
+    rows = spark.createDataFrame([*good, *noisy, *flat, *plain], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in perplexity.quality_rules(rows).collect()}
+    assert sum(got[i].kept for i, *_ in good) >= 198 and not any(got[i].kept for i, *_ in noisy + flat + plain)
+    assert all(got[i].log_perplexity < got[i].low and not got[i].base_failed for i, *_ in plain)
+    assert all(got[i].log_perplexity > got[i].high for i, *_ in noisy + flat)
+
+
+def kneser_ney(texts, order):
+    """Modified Kneser-Ney over bytes, from its definition: a function of context and byte."""
+    from collections import Counter
+
+    counts = {order: Counter()}
+    for t in texts:
+        padded = b"\n" * (order - 1) + t
+        counts[order].update(padded[i : i + order] for i in range(len(t)))
+    for o in range(order - 1, 0, -1):
+        counts[o] = Counter(g[1:] for g in counts[o + 1])
+    discounts = {}
+    for o, grams in counts.items():
+        n = [sum(c == k for c in grams.values()) for k in range(5)]
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] + 2 * n[2] else 0.5
+        d = [min(k - 0.05, max(0.05, k - (k + 1) * y * n[k + 1] / n[k] if n[k] else 0.5)) for k in (1, 2, 3)]
+        discounts[o] = lambda c, d=d: d[min(c, 3) - 1]
+
+    def p(context, byte):
+        o = len(context) + 1
+        lower = p(context[1:], byte) if o > 1 else 1 / 256
+        after = {g: c for g, c in counts[o].items() if g[:-1] == context}
+        if not after:
+            return lower
+        total, own = sum(after.values()), after.get(context + bytes([byte]), 0)
+        left = sum(map(discounts[o], after.values())) / total
+        return (max(0, own - discounts[o](own)) / total if own else 0) + left * lower
+
+    return p
+
+
+@pytest.mark.parametrize("entries", [4_000_000, 60])
+def test_scores_against_brute_force(spark, entries):
+    """Every prediction, whether the model is one block or many, in and out of the corpus."""
+    seen = [("en", "the cat sat on the mat. the dog sat"), ("en", "a cat, a dog"), ("ru", "кот и пёс и кот"), ("en", None), ("ja", "猫と犬")]
+    model = perplexity.kneser_ney(perplexity.count_grams(spark.createDataFrame(seen, "lang string, text string")))
+    new = [*seen, ("en", "the bat zzz на"), ("ru", "пёс the"), ("xx", "no model")]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(new)], "doc_id int, lang string, text string")
+    got = {r.doc_id: r.log_perplexity for r in perplexity.score(docs, model, entries).collect()}
+    assert len(perplexity._blocks(model, entries)) > (1 if entries == 60 else 0)
+    order = perplexity.ORDER
+    p = {lang: kneser_ney([(t or "").encode() for x, t in seen if x == lang], order) for lang in ("en", "ru", "ja")}
+    for i, (lang, text) in enumerate(new):
+        if lang == "xx" or not text:
+            assert got[i] is None
+            continue
+        padded = b"\n" * (order - 1) + text.encode()
+        cost = -sum(math.log(p[lang](padded[k : k + order - 1], padded[k + order - 1])) for k in range(len(text.encode())))
+        words = len([w for w in text.split() if re.search(r"[^\W_]", w)])
+        assert got[i] == pytest.approx(cost / words, rel=1e-4)
+
+
+def test_bands_and_verdicts_against_brute_force(spark):
+    import random
+
+    rng = random.Random(11)
+    rows = [(i, " ".join("".join(rng.choice("abcde"[: 2 + i % 4]) for _ in range(5)) for _ in range(60 + i % 9)), ("en", "de", None)[i % 3]) for i in range(90)]
+    df = spark.createDataFrame([*rows, (900, None, "en"), (901, "", None), (902, rows[0][1], "en"), (902, rows[0][1], "en")], "doc_id long, text string, lang string").withColumns({"low": F.lit(1), "n": F.lit(2), "kept": F.lit("x")})
+    got = perplexity.quality_rules(df, (1.0, 1.5), (0.01, 0.01)).collect()
+    assert len(got) == df.count()
+    for lang in ("en", "de", ""):
+        mine = [r for r in got if r.lang == lang]
+        bins = sorted(math.floor(r.log_perplexity / perplexity.BIN) for r in mine if not r.base_failed)
+        low_median = lambda v: sorted(v)[(len(v) - 1) // 2]
+        centre = low_median(bins)
+        below, above = low_median([centre - b for b in bins if b <= centre]), low_median([b - centre for b in bins if b >= centre])
+        mid = (centre + 0.5) * perplexity.BIN
+        low, high = mid - max(0.01, below * perplexity.BIN), mid + max(0.01, 1.5 * above * perplexity.BIN)
+        for r in mine:
+            assert r.low == pytest.approx(low) and r.high == pytest.approx(high)
+            assert r.kept == (not r.base_failed and low <= r.log_perplexity <= high)
+        assert {r.kept for r in mine} == {True, False}
 
 
 def test_model_is_a_distribution(spark):
@@ -194,14 +274,12 @@ def test_model_is_a_distribution(spark):
     import numpy as np
 
     df = spark.createDataFrame([("en", "the cat sat on the mat. the dog sat"), ("en", "a cat, a dog"), ("en", None)], "lang string, text string")
-    model = perplexity.Model(perplexity.kneser_ney(perplexity.count_grams(df)).drop("lang").toArrow())
-    symbol = lambda c: int(perplexity.FOLD[ord(c)])
-    for context in ("the", "zzz", "a c", "at ", "sat"):
-        code = 0
-        for c in context:
-            code = code << 6 | symbol(c)
-        codes = (code << 6) + np.arange(perplexity.SYMBOLS)
-        assert np.exp(model.log_p(codes.astype(np.int32))).sum() == pytest.approx(1, abs=1e-4)
+    rows = perplexity.kneser_ney(perplexity.count_grams(df)).toArrow()
+    model = perplexity.Model.build(*[np.asarray(rows.column(c)) for c in ("kind", "gram", "value")])
+    for context in ("the ", "zzzz", "a ca", "at o", " sat"):
+        code = int.from_bytes(context.encode(), "big")
+        codes = (code << 8) + np.arange(perplexity.SYMBOLS, dtype=np.int64)
+        assert np.exp(model.log_p(codes)).sum() == pytest.approx(1, abs=1e-4)
 
 
 def test_suffix_automaton_matches_brute_force():
