@@ -53,7 +53,12 @@ _PATTERNS = {
     "card": r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])",
     "phone": r"(?<![\w.+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,5}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4}|0\d{2,4}[ /-]\d{5,8}|0\d(?:[ .-]?\d{2}){4}|[67]\d{2} \d{3} \d{3}(?! ?\d))(?!\w)",
 }
-_NUMBERED = re.compile("|".join(f"(?P<{k}>{v})" for k, v in _PATTERNS.items()))
+_EMAIL = re.compile(_PATTERNS["email"])
+_NUMBERED = re.compile("|".join(f"(?P<{k}>{v})" for k, v in _PATTERNS.items() if k != "email"))
+#: From a digit to the end of its word and of the words behind it that have digits too, or
+#: are a few capitals, as in a grouped number.
+_REST = re.compile(r"\S*(?:\s(?:\S*\d\S*|[A-Z]{1,4}(?!\w)))*")
+_DIGIT = re.compile(r"\d")
 #: Values that only the words before them give away.
 _ANNOUNCED = re.compile(
     r"(?i:\b(?:pass(?:word|wort|wd|code)|pwd|contraseña|mot de passe|пароль)\b)[\"']?\s*[:=]\s*[\"']?(?P<secret>[^\s\"'<>]{4,}[^\s\"'<>.,;:)!?])"
@@ -61,9 +66,10 @@ _ANNOUNCED = re.compile(
     r"|(?i:\b(?:passport|reisepass|passeport|pasaporte)\b)(?i:[ -]?(?:no|nr|number|nummer|n°|número)\b)?[.:#]* ?(?P<id>(?=[A-Z]*\d)[A-Z0-9]{6,9})\b"
     r"|(?i:\b(?:born(?: on)?|date of birth|dob|geboren am|née? le|nacid[oa] el)\b)[: ]+(?P<date>\d{4}-\d{2}-\d{2}|\d{1,2}[./]\d{1,2}[./]\d{4})(?!\w)"
 )
-_ANNOUNCES = re.compile(r"(?i)pass|pwd|contrase|пароль|key|secret|token|born|birth|dob|née? le|nacid|geboren")
+_ANNOUNCES = ("passw", "passc", "passp", "reisepass", "pasaporte", "pwd", "contrase", "mot de passe", "пароль", "api", "secret", "token", "born", "birth", "dob", "né le", "née le", "nacid", "geboren")
 _CALLED = re.compile(r"(?<!\w)(?P<title>" + "|".join(t for ts in _TITLES.values() for t in ts) + rf")\.?[ ](?P<name>(?=[^\W\d_])(?-i:{_NAME})(?:[ ]{_NAME}){{0,2}})")
-_HAS_NUMBER = re.compile(r"[0-9@]|eyJ|sk-|xox|::")
+#: What entities without a digit begin with or contain.
+_UNNUMBERED = ("AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "xox", "eyJ", "::")
 _WORD = re.compile(_NAME)
 _PIECE = re.compile(r"[^\W\d_]+")
 _GENDER = {t: g for g, ts in _TITLES.items() for t in ts}
@@ -275,13 +281,45 @@ def _mentions(text: str, introduced: set[str]) -> Iterator[tuple[int, int, str]]
                 yield m.start(), m.end(), value
 
 
+def _emails(text: str) -> Iterator[re.Match]:
+    """Addresses, looked for around each @."""
+    at, end = text.find("@"), 0
+    while at >= 0:
+        start = at
+        while start > end and (text[start - 1].isalnum() or text[start - 1] in "._+%-"):
+            start -= 1
+        while start < at and not text[start].isalnum():
+            start += 1
+        if m := _EMAIL.match(text, start):
+            yield m
+            end = m.end()
+        at = text.find("@", max(at + 1, end))
+
+
+def _numbered_parts(text: str) -> Iterator[tuple[int, int]]:
+    """The parts of a text, from space to space, in which a number can stand; the whole
+    text if it may hold a key without digits."""
+    if any(x in text for x in _UNNUMBERED):
+        yield 0, len(text)
+        return
+    m = _DIGIT.search(text)
+    while m:
+        start = m.start()
+        while start and not text[start - 1].isspace():
+            start -= 1
+        end = _REST.match(text, m.start()).end()
+        yield start, end
+        m = _DIGIT.search(text, end)
+
+
 def detect(text: str) -> Iterator[tuple[int, int, str, str, str]]:
     """(start, end, kind, mention, gender) of the entities of a text, in order, without
     overlaps.  The gender is m, f or n (neutral) where a title tells it, else empty."""
-    found = []
-    if _HAS_NUMBER.search(text):
-        found += [(m.start(), m.end(), m.lastgroup, m[0], "") for m in _NUMBERED.finditer(text)]
-    if _ANNOUNCES.search(text):
+    found = [(m.start(), m.end(), "email", m[0], "") for m in _emails(text)]
+    for start, end in _numbered_parts(text):
+        found += [(m.start(), m.end(), m.lastgroup, m[0], "") for m in _NUMBERED.finditer(text, start, end)]
+    lowered = text.lower()
+    if any(x in lowered for x in _ANNOUNCES):
         for m in _ANNOUNCED.finditer(text):
             kind = m.lastgroup
             found.append((m.start(kind), m.end(kind), "secret" if kind == "key" else kind, m[kind], ""))
