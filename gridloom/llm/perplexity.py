@@ -25,7 +25,7 @@ ORDER = 5
 SYMBOL_BITS = 8
 SYMBOLS = 1 << SYMBOL_BITS
 #: Model entries broadcast at once (12 bytes each); a larger model takes several passes.
-BLOCK_ENTRIES = 4_000_000
+BLOCK_ENTRIES = 2_000_000
 #: Perplexity bands: medians of a language's log-perplexity, minus and plus so many median
 #: absolute deviations of the documents on that side, and at least so many nats.
 BAND_MADS, BAND_NATS = (10.0, 10.0), (0.5, 1.0)
@@ -102,7 +102,7 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
     grams = {ORDER: counts}
     for order in range(ORDER - 1, 0, -1):  # continuation counts: how many symbols come before
         tail = F.col("gram").bitwiseAND(F.lit((1 << order * SYMBOL_BITS) - 1))
-        grams[order] = grams[order + 1].groupBy("lang", tail.alias("gram")).agg(F.count(F.lit(1)).alias("n"))
+        grams[order] = stored(grams[order + 1].groupBy("lang", tail.alias("gram")).agg(F.count(F.lit(1)).alias("n")), "grams")
     out, below = None, None
     for order in range(1, ORDER + 1):
         g = grams[order].withColumn("context", F.shiftright("gram", SYMBOL_BITS))
@@ -119,7 +119,7 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
         )
         contexts = contexts.join(small(spread), "lang")
         left = (F.col("d1") * F.col("c1") + F.col("d2") * F.col("c2") + F.col("d3") * F.col("c3")) / F.col("total")
-        contexts = contexts.withColumn("left", left)
+        contexts = stored(contexts.withColumn("left", left), "contexts")
         own = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
         scored = g.join(contexts.select("lang", "context", "total", "left", "d1", "d2", "d3"), ["lang", "context"])
         if below is None:
@@ -128,7 +128,7 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
             tail = F.col("gram").bitwiseAND(F.lit((1 << (order - 1) * SYMBOL_BITS) - 1))
             scored = scored.withColumn("tail", tail).join(below, ["lang", "tail"])
         p = F.greatest(F.lit(0.0), F.col("n") - own) / F.col("total") + F.col("left") * F.col("lower")
-        scored = scored.select("lang", "gram", p.alias("p"))
+        scored = stored(scored.select("lang", "gram", p.alias("p")), "scored")
         below = scored.select("lang", F.col("gram").alias("tail"), F.col("p").alias("lower"))
         rows = scored.select("lang", F.lit(2 * order).alias("kind"), "gram", F.log("p").cast("float").alias("value")).unionByName(
             contexts.select("lang", F.lit(2 * order + 1).alias("kind"), F.col("context").alias("gram"), F.log("left").cast("float").alias("value"))
@@ -153,10 +153,12 @@ class Model:
 
     @classmethod
     def build(cls, kind: np.ndarray, gram: np.ndarray, value: np.ndarray) -> Model:
-        order = np.lexsort((gram, kind))
-        kind, gram, value = kind[order], gram[order], value[order]
-        cuts = np.searchsorted(kind, np.arange(2, 2 * ORDER + 3))
-        return cls({k: (gram[a:b], value[a:b]) for k, a, b in zip(range(2, 2 * ORDER + 2), cuts[:-1], cuts[1:], strict=True)})
+        of = {}
+        for k in range(2, 2 * ORDER + 2):
+            mine = np.flatnonzero(kind == k)
+            mine = mine[np.argsort(gram[mine])]
+            of[k] = (gram[mine], value[mine])
+        return cls(of)
 
     def _find(self, kind: int, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         keys, values = self.of[kind]
@@ -270,6 +272,7 @@ def _costs(docs: DataFrame, model: DataFrame, block: list[tuple[str, int]], coun
         mine = columns["lang"] == i
         models[lang] = Model.build(columns["kind"][mine], columns["gram"][mine], columns["value"][mine])
         priors[lang] = np.isin(np.arange(SYMBOLS), [p for x, p in block if x == lang])
+    del table, columns
     shared = docs.sparkSession.sparkContext.broadcast((models, priors))
     schema = docs.schema
     if counted is not None:
