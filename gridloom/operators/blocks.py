@@ -195,6 +195,39 @@ def to_blocks(cells: DataFrame, chunk: Sequence[int] = CHUNK) -> DataFrame:
     return with_chunk(cells, chunk).groupBy("ct", "cy", "cx").applyInArrow(run, BLOCK)
 
 
+def bands_to_blocks(strips: DataFrame, chunk: Sequence[int] = CHUNK) -> DataFrame:
+    """Row bands (``bands.BAND``) as blocks, without a row per cell: each strip is cut at
+    the chunks' edges, and one exchange brings the packed pieces of a chunk together."""
+    kt, ky, kx = chunk
+
+    def cut(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                strip = np.frombuffer(r["data"], "<f4").reshape(-1, r["nx"])[r["halo"] :]
+                rows = []
+                for cy in range(r["y0"] // ky, (r["y0"] + len(strip) - 1) // ky + 1):
+                    top = max(r["y0"], cy * ky)
+                    part = strip[top - r["y0"] : (cy + 1) * ky - r["y0"]]
+                    for cx in range(-(-r["nx"] // kx)):
+                        piece = part[:, cx * kx : (cx + 1) * kx]
+                        rows.append((r["t"] // kt, cy, cx, r["t"], top, *piece.shape, piece.tobytes()))
+                kinds = [*[pa.int32()] * 7, pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], k) for i, k in enumerate(kinds)], names=["ct", "cy", "cx", "t", "y0", "ny", "nx", "data"])
+
+    def joined(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("t", "ascending"), ("y0", "ascending")])
+        t, ny = (np.asarray(table.column(c)) for c in ("t", "ny"))
+        nt, nx = int(t.max() - t.min()) + 1, table.column("nx")[0].as_py()
+        rows = int(ny[t == t[0]].sum())
+        if len(np.unique(t)) != nt or int(ny.sum()) != nt * rows:
+            raise ValueError(f"a block of shape {[nt, rows, nx]} has {int(ny.sum())} rows")
+        sides = {n: pa.array([v], pa.int32()) for n, v in (("nt", nt), ("ny", rows), ("nx", nx))}
+        return pa.table({**{c: table.column(c)[:1] for c in ("ct", "cy", "cx")}, **sides, "data": pa.array([b"".join(table.column("data").to_pylist())], pa.binary())})
+
+    pieces = strips.mapInArrow(cut, "ct int, cy int, cx int, t int, y0 int, ny int, nx int, data binary")
+    return pieces.groupBy("ct", "cy", "cx").applyInArrow(joined, BLOCK)
+
+
 def from_blocks(blocks: DataFrame, chunk: Sequence[int] = CHUNK) -> DataFrame:
     """The cells (t, y, x, v) of blocks."""
 

@@ -95,6 +95,28 @@ def chunk_order(cells: DataFrame, chunk: Sequence[int] = CHUNK) -> DataFrame:
     return df.withColumn("region", local).withColumn("place", F.row_number().over(order) - 1)
 
 
+def chunk_cells(stored: DataFrame, shape: Sequence[int], chunk: Sequence[int] = CHUNK) -> DataFrame:
+    """Adds t, y and x to rows (ct, cy, cx, place): the inverse of ``chunk_order`` for a grid
+    of ``shape``.  A region's cells are in row order, so its place alone gives a cell."""
+    start = {a: F.col(f"c{a}") * n for a, n in zip("tyx", chunk, strict=True)}
+    sides = {a: F.least(F.lit(n), F.lit(whole) - start[a]) for a, n, whole in zip("tyx", chunk, shape, strict=True)}
+    found, below = None, F.lit(0)
+    for name in REGIONS:
+        fixed = set("tyx") if name == "vertex" else {a for a, zero in zip("tyx", ("t0", "lat0", "lon0"), strict=True) if zero in name.split("_")}
+        at, size, cell = F.col("place") - below, F.lit(1), {}
+        for a in "xyt":
+            if a in fixed:
+                cell[a] = start[a]
+            else:
+                inner = F.greatest(sides[a] - 1, F.lit(1))
+                cell[a] = start[a] + 1 + F.pmod(at, inner)
+                at, size = F.floor(at / inner), size * (sides[a] - 1)
+        below = below + size
+        one = F.struct(*[cell[a].cast("int").alias(a) for a in "tyx"])
+        found = F.when(F.col("place") < below, one) if found is None else found.when(F.col("place") < below, one)
+    return stored.withColumn("__cell", found).select(*stored.columns, "__cell.*")
+
+
 def mixed2d(cells: DataFrame, value: str = "w", to: str = "d") -> DataFrame:
     """The mixed difference of each 2x2 square of a frame; t, y >= 1, x >= 1."""
     df = cells.repartition("t").withColumn(to, F.col(value))

@@ -210,6 +210,9 @@ ORACLE: dict[str, str] = {
     "chunk_boundary_fraction": "SELECT a || ',' || b || ',' || c AS chunk, round(100 * (1 - (a - 1) * (b - 1) * (c - 1) / (a * b * c)::DOUBLE), 9) AS percent FROM (VALUES (24, 128, 256), (48, 128, 256), (96, 128, 256), (24, 4, 5)) v(a, b, c)",
     "block_encode_verify": "SELECT mode, 16::BIGINT AS blocks, 26560::BIGINT AS raw_bytes, 0::BIGINT AS mismatches FROM (SELECT unnest(['planes', 'delta', 'delta+planes', 'delta+zigzag', 'delta+zigzag+planes', 'delta+zigzag+reorder', 'delta+zigzag+reorder+planes']) AS mode)",
     "block_roundtrip": _BASE + "SELECT t, y, x, v::DOUBLE AS v FROM grid",
+    "tiff_block_roundtrip": _BASE + "SELECT t, y, x, v::DOUBLE AS v FROM grid",
+    "tiff_tag_meanings": "SELECT tag, name, meaning, 83::BIGINT AS files FROM (VALUES (256, 'ImageWidth', NULL), (257, 'ImageLength', NULL), (258, 'BitsPerSample', NULL), (259, 'Compression', 'Deflate'), (262, 'PhotometricInterpretation', 'BlackIsZero'), (270, 'ImageDescription', NULL), (277, 'SamplesPerPixel', NULL), (322, 'TileWidth', NULL), (323, 'TileLength', NULL), (324, 'TileOffsets', NULL), (325, 'TileByteCounts', NULL), (339, 'SampleFormat', 'IEEEFloat')) v(tag, name, meaning)",
+    "grib_grid": _BASE + "SELECT DISTINCT t::INT AS t, 0::BIGINT AS grid, -90.0::DOUBLE AS last_lat, 359.75::DOUBLE AS last_lon, 0.25::DOUBLE AS i_increment, 0.25::DOUBLE AS j_increment, false AS i_negative, false AS j_positive, false AS j_consecutive, 0::BIGINT AS step_start, 0::BIGINT AS step_end, TIMESTAMP '2026-05-01' + to_hours(t::INT) AS valid FROM grid",
     "plane_zstd_roundtrip": _with(_GRID, _PLACED) + _PACKED,
     "whiten_delta_hist": _with(_GRID, _noise(7), _delta("z", "noisy")) + _FINAL,
     "whiten_highbits_mismatch": _BASE + "SELECT bits, count(*) AS n, 0::BIGINT AS mismatches FROM grid, (SELECT unnest([7, 8]) AS bits) GROUP BY bits",

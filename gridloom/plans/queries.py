@@ -203,10 +203,10 @@ def region_reorder(spark, sf_dir):
 
 @query
 def reorder_roundtrip(spark, sf_dir):
-    key = ["ct", "cy", "cx"]
-    placed = delta.chunk_order(_words(spark, sf_dir), CHUNK)
-    stored = placed.select(*key, "place", F.col("w").alias("stored"))
-    back = placed.join(stored, [*key, "place"])
+    """Words in stored order, without their coordinates, put back where they were."""
+    stored = delta.chunk_order(_words(spark, sf_dir), CHUNK).select("ct", "cy", "cx", "place", F.col("w").alias("stored"))
+    cells = delta.chunk_cells(stored, (grids.FRAMES, grids.ROWS, grids.COLUMNS), CHUNK)
+    back = cells.join(_words(spark, sf_dir), ["t", "y", "x"])
     return back.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("stored") != F.col("w")).alias("mismatches"))
 
 
@@ -725,6 +725,28 @@ def tiff_frames_coerced(spark, sf_dir):
     return cells.groupBy("t").agg(F.count(F.lit(1)).alias("cells"), F.min("v").cast("double").alias("low"), F.max("v").cast("double").alias("high"))
 
 
+@query
+def tiff_block_roundtrip(spark, sf_dir):
+    """Frames from files to blocks and back, by row bands: no row per cell on the way in."""
+    files = tiff.frames_as_tiff(_smooth(spark, sf_dir), tile=16)
+    cells = blocks.from_blocks(blocks.bands_to_blocks(tiff.read_bands(files, rows=3), CHUNK), CHUNK)
+    return cells.select("t", "y", "x", F.col("v").cast("double").alias("v"))
+
+
+@query
+def tiff_tag_meanings(spark, sf_dir):
+    files = tiff.frames_as_tiff(_smooth(spark, sf_dir), tile=16).select(F.format_string("%04d.tiff", "t").alias("path"), "content")
+    named = tiff.named_values(tiff.tiff_tags(files))
+    return named.groupBy("tag", "name", "meaning").agg(F.count(F.lit(1)).alias("files"))
+
+
+@query
+def grib_grid(spark, sf_dir):
+    """Scan order, increments, steps and validity of every message."""
+    read = _messages(spark, sf_dir)
+    return read.select(F.col("path").cast("int").alias("t"), "grid", "last_lat", "last_lon", "i_increment", "j_increment", "i_negative", "j_positive", "j_consecutive", "step_start", "step_end", grib.validity_time(read).alias("valid"))
+
+
 @query
 def whiten_reverify(spark, sf_dir):
     """Whitened frames read back from files, against noise that is made again for each cell."""

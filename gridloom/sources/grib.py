@@ -57,6 +57,31 @@ def _signed(raw: bytes) -> int:
     return -(n - top) if n >= top else n
 
 
+def _scan(flags: int) -> dict:
+    """The order of the cells, from a grid's scanning flags."""
+    return {"i_negative": bool(flags & 0x80), "j_positive": bool(flags & 0x40), "j_consecutive": bool(flags & 0x20)}
+
+
+# Fixed values of the formats: unit of time -> seconds (254: edition 1's second, 13: edition 2's).
+_UNITS = {0: 60, 1: 3600, 2: 86400, 10: 10800, 11: 21600, 12: 43200, 13: 1, 254: 1}
+
+
+def _steps(message: dict[int, bytes], edition: int) -> dict:
+    """The step range in seconds; None for units of no fixed length or other templates."""
+    p = message[1] if edition == 1 else message[4]
+    if edition == 1:
+        unit, (first, last), kind = p[17], p[18:20], p[20]
+        if kind == 10:
+            first = last = first * 256 + last
+        elif kind not in (2, 3, 4, 5):  # one time, not a range
+            last = first
+    else:
+        unit = p[17] if int.from_bytes(p[7:9], "big") in (0, 1, 8, 11) else 255
+        first = last = int.from_bytes(p[18:22], "big")
+    seconds = _UNITS.get(unit)
+    return {"step_start": None if seconds is None else first * seconds, "step_end": None if seconds is None else last * seconds}
+
+
 def describe(message: bytes) -> dict:
     """Edition, times, grid and packing; what a message lacks is None."""
     s = sections(message)
@@ -68,7 +93,8 @@ def describe(message: bytes) -> dict:
         return {
             "edition": 1, "centre": p[4], "param": p[8], "level_type": p[9], "level": int.from_bytes(p[10:12], "big"), "data_date": date, "data_time": p[15] * 100 + p[16],
             "ni": int.from_bytes(g[6:8], "big") if g else None, "nj": int.from_bytes(g[8:10], "big") if g else None, "first_lat": degrees(10), "first_lon": degrees(13), "last_lat": degrees(17), "last_lon": degrees(20),
-            "bitmap": bool(p[7] & 0x40), "simple": d[3] >> 4 == 0, "bits": d[10], "binary_scale": _signed(d[4:6]), "decimal_scale": _signed(p[26:28]), "reference": _ibm(d[6:10]), "payload": d[11:],
+            "grid": g[5] if g else None, "i_increment": int.from_bytes(g[23:25], "big") / 1000 if g else None, "j_increment": int.from_bytes(g[25:27], "big") / 1000 if g else None,
+            **(_scan(g[27]) if g else {}), **_steps(s, 1), "bitmap": bool(p[7] & 0x40), "simple": d[3] >> 4 == 0, "bits": d[10], "binary_scale": _signed(d[4:6]), "decimal_scale": _signed(p[26:28]), "reference": _ibm(d[6:10]), "payload": d[11:],
         }
     i, g, p, r = s[1], s[3], s[4], s[5]
     year, month, day, hour, minute = struct.unpack_from(">H4B", i, 12)
@@ -76,15 +102,17 @@ def describe(message: bytes) -> dict:
     return {
         "edition": 2, "centre": int.from_bytes(i[5:7], "big"), "param": p[9] * 256 + p[10], "level_type": p[22] if len(p) > 22 else None, "level": int.from_bytes(p[24:28], "big") if len(p) > 27 else None,
         "data_date": year * 10000 + month * 100 + day, "data_time": hour * 100 + minute, "ni": int.from_bytes(g[30:34], "big"), "nj": int.from_bytes(g[34:38], "big"),
-        "first_lat": corner(46), "first_lon": corner(50), "last_lat": corner(55), "last_lon": corner(59), "bitmap": s.get(6, b"\0\0\0\0\0\xff")[5] != 255, "simple": int.from_bytes(r[9:11], "big") == 0,
+        "first_lat": corner(46), "first_lon": corner(50), "last_lat": corner(55), "last_lon": corner(59),
+        "grid": int.from_bytes(g[12:14], "big"), "i_increment": corner(63), "j_increment": corner(67), **_scan(g[71]), **_steps(s, 2), "bitmap": s.get(6, b"\0\0\0\0\0\xff")[5] != 255, "simple": int.from_bytes(r[9:11], "big") == 0,
         "bits": r[19], "binary_scale": _signed(r[15:17]), "decimal_scale": _signed(r[17:19]), "reference": struct.unpack_from(">f", r, 11)[0], "payload": s[7][5:],
     }
 
 
 _SCHEMA = pa.schema(
     [
-        *[(n, pa.int64()) for n in ("edition", "centre", "param", "level_type", "level", "data_date", "data_time", "ni", "nj")],
-        *[(n, pa.float64()) for n in ("first_lat", "first_lon", "last_lat", "last_lon")],
+        *[(n, pa.int64()) for n in ("edition", "centre", "param", "level_type", "level", "data_date", "data_time", "step_start", "step_end", "grid", "ni", "nj")],
+        *[(n, pa.float64()) for n in ("first_lat", "first_lon", "last_lat", "last_lon", "i_increment", "j_increment")],
+        *[(n, pa.bool_()) for n in ("i_negative", "j_positive", "j_consecutive")],
         ("bitmap", pa.bool_()),
         ("simple", pa.bool_()),
         *[(n, pa.int64()) for n in ("bits", "binary_scale", "decimal_scale")],
@@ -105,7 +133,7 @@ def read_messages(files: DataFrame, start: int = 1, limit: int | None = None) ->
                     if n < start or limit is not None and n >= start + limit:
                         continue
                     row = describe(message)
-                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64()), *[pa.array([row[f.name]], f.type) for f in _SCHEMA]], names=["path", "message", *_SCHEMA.names])
+                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64()), *[pa.array([row.get(f.name)], f.type) for f in _SCHEMA]], names=["path", "message", *_SCHEMA.names])
 
     return files.select("path", "content").mapInArrow(run, f"path string, message long, {_DDL}")
 
@@ -115,6 +143,17 @@ def data_time(date: Column, time: Column) -> Column:
     return F.try_to_timestamp(F.concat(date.cast("string"), F.lpad(time.cast("string"), 4, "0")), F.lit("yyyyMMddHHmm"))
 
 
+def validity_time(read: DataFrame) -> Column:
+    """When a message's field holds: its data time and the end of its step."""
+    return F.timestamp_add("SECOND", read["step_end"], data_time(read["data_date"], read["data_time"]))
+
+
+def with_parameters(read: DataFrame, parameters: DataFrame) -> DataFrame:
+    """Adds the columns of a parameter table (edition, centre, param, such as short_name,
+    name, units) to messages; null for parameters that it lacks."""
+    return read.join(parameters, ["edition", "centre", "param"], "left")
+
+
 def unpack_messages(read: DataFrame) -> DataFrame:
     """(message, y, x, packed): the packed integers; an error unless simple, 16 bits, no bitmap."""
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.packing import lattice
+from ..operators import bands
 
 FRAMES, ROWS, COLUMNS = 83, 8, 10
 
@@ -53,6 +55,21 @@ def embedding_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select((F.col("vec_id") / 50).cast("int").alias("t"), F.pmod("vec_id", F.lit(50)).cast("int").alias("y"), at)
 
 
+def field_bands(spark: SparkSession, nt: int, ny: int, nx: int) -> DataFrame:
+    """Row bands of a generated temperature field of any size on a lattice of 1/512 K, one
+    frame at a time in the tasks, to measure throughput."""
+    lat, lon = np.linspace(np.pi / 2, -np.pi / 2, ny)[:, None], np.linspace(0, 2 * np.pi, nx, endpoint=False)[None, :]
+
+    def run(batches):
+        for batch in batches:
+            for t in batch.column("id").to_pylist():
+                noise = np.random.default_rng(t).integers(-3, 4, (ny, nx))
+                field = 250 + 40 * np.cos(lat) + 8 * np.sin(3 * lon + t / 24) * np.cos(lat) ** 2
+                yield bands.frame_bands(t, ((np.rint(field * 512) + noise) / 512).astype("<f4"))
+
+    return spark.range(nt).mapInArrow(run, bands.BAND)
+
+
 EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 
 

@@ -23,10 +23,21 @@ _TYPES = {
     9: ("SLONG", "i", 4), 10: ("SRATIONAL", "ii", 8), 11: ("FLOAT", "f", 4), 12: ("DOUBLE", "d", 8), 13: ("IFD", "I", 4), 16: ("LONG8", "Q", 8), 17: ("SLONG8", "q", 8), 18: ("IFD8", "Q", 8),
 }
 _TAGS = {
-    256: "ImageWidth", 257: "ImageLength", 258: "BitsPerSample", 259: "Compression", 262: "PhotometricInterpretation", 270: "ImageDescription", 273: "StripOffsets", 277: "SamplesPerPixel", 278: "RowsPerStrip",
-    279: "StripByteCounts", 282: "XResolution", 283: "YResolution", 284: "PlanarConfiguration", 296: "ResolutionUnit", 305: "Software", 306: "DateTime", 317: "Predictor", 322: "TileWidth", 323: "TileLength",
-    324: "TileOffsets", 325: "TileByteCounts", 339: "SampleFormat",
+    254: "NewSubfileType", 255: "SubfileType", 256: "ImageWidth", 257: "ImageLength", 258: "BitsPerSample", 259: "Compression", 262: "PhotometricInterpretation", 270: "ImageDescription", 271: "Make", 272: "Model", 273: "StripOffsets", 274: "Orientation",
+    277: "SamplesPerPixel", 278: "RowsPerStrip", 279: "StripByteCounts", 282: "XResolution", 283: "YResolution", 284: "PlanarConfiguration", 286: "XPosition", 287: "YPosition", 296: "ResolutionUnit", 305: "Software",
+    306: "DateTime", 315: "Artist", 317: "Predictor", 320: "ColorMap", 322: "TileWidth", 323: "TileLength", 324: "TileOffsets", 325: "TileByteCounts", 330: "SubIFDs", 338: "ExtraSamples", 339: "SampleFormat",
+    340: "SMinSampleValue", 341: "SMaxSampleValue", 347: "JPEGTables", 42112: "GDAL_METADATA", 42113: "GDAL_NODATA",
 }
+# Fixed values of the same formats: what the numbers of some tags stand for.
+_MEANINGS = {
+    "Compression": {1: "None", 5: "LZW", 7: "JPEG", 8: "Deflate", 32773: "PackBits", 32946: "Deflate", 34925: "LZMA", 50000: "ZSTD", 50001: "WebP"},
+    "PhotometricInterpretation": {0: "WhiteIsZero", 1: "BlackIsZero", 2: "RGB", 3: "Palette", 4: "TransparencyMask", 5: "CMYK", 6: "YCbCr", 8: "CIELab"},
+    "PlanarConfiguration": {1: "Chunky", 2: "Planar"},
+    "SampleFormat": {1: "UnsignedInteger", 2: "SignedInteger", 3: "IEEEFloat", 4: "Undefined"},
+    "Predictor": {1: "None", 2: "Horizontal", 3: "FloatingPoint"},
+}
+#: File names that may be broadcast; more are joined by a shuffle.
+BROADCAST_FILES = 500_000
 
 
 class Tiff:
@@ -184,9 +195,10 @@ def tiff_files(spark: SparkSession, folder: str, recursive: bool = False, limit:
     # the listing alone is ordered: names are few, contents are not
     order = files.select("path").withColumn("t", F.row_number().over(Window.orderBy("path")) - 1)
     order = order.where(F.col("t") < limit) if limit else order
-    if not order.limit(1).count():
+    n = order.count()
+    if not n:
         raise FileNotFoundError(f"no TIFF files in {folder}")
-    return files.join(F.broadcast(order), "path").select("t", "path", "length", "content")
+    return files.join(F.broadcast(order) if n <= BROADCAST_FILES else order, "path").select("t", "path", "length", "content")
 
 
 def tiff_tags(files: DataFrame) -> DataFrame:
@@ -211,6 +223,14 @@ def tiff_tags(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, "path string, ifd int, tag int, name string, type string, count long, value array<string>")
 
 
+def named_values(tags: DataFrame) -> DataFrame:
+    """Adds ``meaning`` to tags: what a coded value stands for, its number if unknown, and
+    null where values are not codes."""
+    known = F.create_map(*[F.lit(x) for name, values in _MEANINGS.items() for n, shown in values.items() for x in (f"{name} {n}", shown)])
+    code = F.concat_ws(" ", "name", F.get("value", F.lit(0)))
+    return tags.withColumn("meaning", F.when(F.col("name").isin(*_MEANINGS), F.coalesce(F.try_element_at(known, code), F.get("value", F.lit(0)))))
+
+
 def byte_counts(tags: DataFrame) -> DataFrame:
     """(path, ifd, pieces, total, min, max) of strip or tile byte counts."""
     sizes = tags.where("name IN ('StripByteCounts', 'TileByteCounts')").select("path", "ifd", F.explode(F.col("value").cast("array<long>")).alias("size"))

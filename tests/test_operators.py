@@ -11,8 +11,8 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from gridloom.functions import bits, packing
-from gridloom.operators import blocks, delta, dist, fit, planes, stencil
-from gridloom.sources import grib, tables, tiff
+from gridloom.operators import bands, blocks, delta, dist, fit, planes, stencil
+from gridloom.sources import grib, grids, tables, tiff
 
 HAND = np.array([[[10, 12], [15, 20]], [[11, 13], [18, 30]]])
 
@@ -294,3 +294,46 @@ def test_histogram_files(spark, tmp_path):
     assert "| value | n |" in tables.markdown(d)
     tables.write_summary(d, str(tmp_path / "s"))
     assert tables.read_summary(spark, str(tmp_path / "s")).count() == 3
+
+
+@pytest.mark.parametrize("shape", [(5, 7, 11), (1, 3, 4), (4, 1, 1)])
+def test_stored_order_gives_cells_again(spark, shape):
+    a = np.arange(np.prod(shape)).reshape(shape)
+    stored = delta.chunk_order(cells(spark, a), (2, 3, 4)).select("ct", "cy", "cx", "place", "w")
+    assert (dense(delta.chunk_cells(stored, shape, (2, 3, 4)), "w", shape) == a).all()
+
+
+@pytest.mark.parametrize("rows", [1, 3, 4, 64])
+def test_blocks_from_bands_and_from_cells(spark, rows):
+    a = np.random.default_rng(5).normal(size=(5, 10, 11)).astype(np.float32)
+    df = cells(spark, a, "v", "double").withColumn("v", F.col("v").cast("float"))
+    key = lambda r: tuple(r)[:3]
+    want = sorted(blocks.to_blocks(df, (2, 4, 4)).collect(), key=key)
+    assert sorted(blocks.bands_to_blocks(bands.to_bands(df, rows), (2, 4, 4)).collect(), key=key) == want
+    with pytest.raises(PySparkException):
+        blocks.bands_to_blocks(bands.to_bands(df, rows).where("t <> 1 OR y0 > 0"), (3, 4, 4)).collect()
+
+
+def test_generated_field_counts(spark):
+    strips = grids.field_bands(spark, 3, 70, 8)
+    got = {tuple(r) for r in bands.delta3d_counts(strips).collect()}
+    v = blocks.from_blocks(blocks.bands_to_blocks(strips, (2, 64, 8)), (2, 64, 8))
+    d = delta.delta3d(delta.words(v)).withColumn("region", delta.region(F.col("t"), F.col("y"), F.col("x")))
+    assert got == {tuple(r) for r in dist.frequencies(d, "d", "region").collect()}
+
+
+def test_tag_meanings(spark):
+    tags = spark.createDataFrame([("Compression", ["5"]), ("Compression", ["77"]), ("ImageWidth", ["5"]), ("Predictor", [])], "name string, value array<string>")
+    assert [r.meaning for r in tiff.named_values(tags).collect()] == ["LZW", "77", None, None]
+
+
+def test_grib_steps_and_parameters(spark):
+    message = bytearray(grib.write_message(np.arange(12).reshape(3, 4), 200.5, 20260501, 600))
+    message[8 + 17 : 8 + 21] = bytes([1, 6, 9, 4])  # accumulated from hour 6 to hour 9
+    files = spark.createDataFrame([("a", bytes(message))], "path string, content binary")
+    read = grib.read_messages(files)
+    named = grib.with_parameters(read, spark.createDataFrame([(1, 98, 167, "2t", "K")], "edition long, centre long, param long, short_name string, units string"))
+    r = named.withColumn("valid", grib.validity_time(named)).first()
+    assert (r.step_start, r.step_end, str(r.valid), r.short_name, r.units) == (21600, 32400, "2026-05-01 15:00:00", "2t", "K")
+    assert (r.grid, r.i_increment, r.j_increment, r.i_negative, r.j_positive, r.j_consecutive) == (0, 0.25, 0.25, False, False, False)
+    assert grib._steps({1: bytes(message[8:36])[:17] + bytes([3, 6, 9, 0])}, 1) == {"step_start": None, "step_end": None}
