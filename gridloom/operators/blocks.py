@@ -58,16 +58,31 @@ def byte_shuffle(b: bytes, undo: bool = False) -> bytes:
     return (a.reshape(4, -1).T if undo else a.reshape(-1, 4).T).tobytes()
 
 
+def _turned(squares: np.ndarray) -> np.ndarray:
+    """Each uint64, as 8 rows of 8 bits, with rows and columns exchanged, in place: bits swap
+    with their mirror images in squares of 2, then of 4, then of 8."""
+    for shift, mask in ((7, 0x00AA00AA00AA00AA), (14, 0x0000CCCC0000CCCC), (28, 0x00000000F0F0F0F0)):
+        swap = squares >> np.uint64(shift)
+        swap ^= squares
+        swap &= np.uint64(mask)
+        squares ^= swap
+        swap <<= np.uint64(shift)
+        squares ^= swap
+    return squares
+
+
 def bit_shuffle(b: bytes, undo: bool = False) -> bytes:
     """Bit 0 of all words, then bit 1, and so on; the count of words is padded to 8."""
-    n = len(b) // 4
     if undo:
         n = int.from_bytes(b[:4], "little")
-        planes = np.unpackbits(np.frombuffer(b[4:], np.uint8).reshape(32, -1), axis=1, bitorder="little")[:, :n]
-        return np.packbits(planes.T.copy(), axis=1, bitorder="little").tobytes()
-    words = np.frombuffer(b, np.uint8).reshape(n, 4)
-    planes = np.unpackbits(words, axis=1, bitorder="little").T
-    return n.to_bytes(4, "little") + np.packbits(planes, axis=1, bitorder="little").tobytes()
+        planes = np.frombuffer(b[4:], np.uint8).reshape(4, 8, -(-n // 8))
+        squares = planes.transpose(0, 2, 1).copy().reshape(4, -(-n // 8) * 8).view("<u8")
+        return _turned(squares).view(np.uint8)[:, :n].T.tobytes()
+    n = len(b) // 4
+    octets = np.zeros((4, -(-n // 8) * 8), np.uint8)
+    octets[:, :n] = np.frombuffer(b, np.uint8).reshape(n, 4).T
+    squares = _turned(octets.view("<u8")).view(np.uint8)
+    return n.to_bytes(4, "little") + squares.reshape(4, -(-n // 8), 8).transpose(0, 2, 1).tobytes()
 
 
 #: name -> (encode, decode), bytes to bytes.  ``register_codec`` adds one.

@@ -175,6 +175,14 @@ def test_modes_and_codecs_round_trip(mode):
             assert decode(encode(coded)) == coded or len(coded) % 4
 
 
+@pytest.mark.parametrize("n", [0, 1, 8, 77])
+def test_bit_shuffle_against_packed_bits(n):
+    w = np.random.default_rng(n).integers(0, 2**32, n, dtype=np.uint32)
+    want = b"".join(np.packbits((w >> np.uint32(bit)).astype(np.uint8) & 1, bitorder="little").tobytes() for bit in range(32))
+    assert blocks.bit_shuffle(w.tobytes()) == n.to_bytes(4, "little") + want
+    assert blocks.bit_shuffle(blocks.bit_shuffle(w.tobytes()), undo=True) == w.tobytes()
+
+
 def test_block_order_matches_cell_order(spark):
     a = np.arange(3 * 4 * 5, dtype=np.uint32).reshape(3, 4, 5)
     placed = delta.chunk_order(cells(spark, a.astype(np.int64)), (3, 4, 5)).orderBy("place").collect()
