@@ -306,31 +306,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     """
     found = _searched(docs, benchmark, window, AUTOMATON_WORDS)
     kept = found.where(hit_words(F.col("__spans")) <= F.col("__n_words") * max_coverage)
-    schema = docs.schema
-    chars = "n_chars" in docs.columns and schema["n_chars"].dataType.typeName() in ("short", "integer", "long")
-
-    def run(batches):
-        for batch in batches:
-            columns = {n: batch.column(n) for n in schema.names}
-            spans = [[s for s in x or [] if s["count"] >= min_span] for x in batch.column("__spans").to_pylist()]
-            if any(spans):
-                new = [_cut(t, s) if s else t for t, s in zip(columns["text"].to_pylist(), spans, strict=True)]
-                columns["text"] = pa.array(new, columns["text"].type)
-                if chars:
-                    old = columns["n_chars"].to_pylist()
-                    columns["n_chars"] = pa.array([len(t) if s else n for t, s, n in zip(new, spans, old, strict=True)], columns["n_chars"].type)
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
-
-    return kept.select(*docs.columns, "__spans").mapInArrow(run, schema)
-
-
-def _cut(text: str, spans) -> str:
-    """``text`` without the byte ranges of ``spans``; only contaminated texts come here."""
-    raw, out, at = text.encode(), [], 0
-    for start, end in sorted((s["start"], s["end"]) for s in spans):
-        out.append(raw[at : max(at, start)])
-        at = max(at, end)
-    return b"".join([*out, raw[at:]]).decode()
+    spans = F.array_sort(F.filter("__spans", lambda s: s["count"] >= min_span))
+    kept = kept.withColumn("__spans", spans).withColumn("__cut", F.when(F.size("__spans") > 0, _without("text", "__spans")))
+    new = {"text": F.coalesce("__cut", "text")}
+    if "n_chars" in docs.columns and docs.schema["n_chars"].dataType.typeName() in ("short", "integer", "long"):
+        new["n_chars"] = F.coalesce(F.length("__cut").cast(docs.schema["n_chars"].dataType), "n_chars")
+    return kept.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+
+
+def _without(text: str, spans: str):
+    """``text`` without the byte ranges of its sorted spans, which may overlap."""
+    raw = F.col(text).cast("binary")
+    upto = lambda some: F.coalesce(F.array_max(F.transform(some, lambda s: s["end"])), F.lit(0)).cast("int")
+    piece = lambda start, end: F.substring(raw, start + 1, F.greatest(end - start, F.lit(0))).cast("string")
+    before = F.transform(spans, lambda s, i: piece(upto(F.slice(spans, 1, i)), s["start"].cast("int")))
+    return F.concat(F.array_join(before, ""), piece(upto(F.col(spans)), F.length(raw)))
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

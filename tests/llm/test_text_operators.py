@@ -347,6 +347,17 @@ def test_decontaminated_texts(spark):
     assert none.count() == 4 and none.columns == docs.columns
 
 
+def test_texts_without_spans(spark):
+    text = "ä one ö two three ü four"
+    raw = text.encode()
+    cases = [[], [(0, 2)], [(3, 6), (5, 12)], [(3, 14), (5, 6), (9, 13)], [(len(raw) - 4, len(raw))], [(0, len(raw))]]
+    rows = [(i, text, [{"start": a, "end": b} for a, b in spans]) for i, spans in enumerate(cases)]
+    df = spark.createDataFrame(rows, "i int, text string, spans array<struct<start: bigint, end: bigint>>")
+    got = {r.i: r.cut for r in df.select("i", decontaminate._without("text", "spans").alias("cut")).collect()}
+    for i, spans in enumerate(cases):
+        assert got[i].encode() == bytes(c for k, c in enumerate(raw) if not any(a <= k < b for a, b in spans))
+
+
 def test_surrogates(spark):
     text = "Mail Anna.Lee@mail.example.com or +1 (743) 555-3824, 10.0.0.7, 4111 1111 1111 1111; token = \"%s\"." % ("0a1b" * 10)
     docs = spark.createDataFrame([(1, text, 1), (2, "again anna.lee@mail.example.com and Mr John Smith; Mrs Smith, JOHN", 2), (3, None, 3), (4, "", 4), (5, "no entity 123", 5)], "doc_id long, text string, n_entities int")
